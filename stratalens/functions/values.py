@@ -95,12 +95,16 @@ def is_sentinel_year(moment: Column) -> Column:
 
 def filled(name: str, dtype: T.DataType) -> Column:
     """True where the column has a real value: not null, blank, placeholder or sentinel date."""
-    c, fam = col(name), family(dtype)
+    return is_real(col(name), dtype, keyish(name))
+
+
+def is_real(c: Column, dtype: T.DataType, key_like: bool) -> Column:
+    fam = family(dtype)
     if fam == "string":
-        real = (F.trim(c) != "") & ~is_placeholder(c, keyish(name))
+        real = (F.trim(c) != "") & ~is_placeholder(c, key_like)
     elif fam == "temporal":
         real = ~is_sentinel_year(c)
-    elif fam == "numeric" and keyish(name):
+    elif fam == "numeric" and key_like:
         real = ~c.cast("double").isin(0.0, -1.0)
     else:
         real = F.lit(True)
