@@ -39,29 +39,52 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċč
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
 
 SHOWN_CHARS = 200     # longer texts are shown cut
-LONG_TEXT = 256       # longer texts are counted by their digest
+LONG_TEXT = 256       # longer texts are counted by a key of bounded size
 
 
-def text_of(name: str, dtype: T.DataType) -> Column:
-    """The text form values are counted and compared by."""
-    c = col(name)
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        zero = F.lit(0).cast(dtype)
-        return F.when(c == zero, zero).otherwise(c).cast("string")
-    if isinstance(dtype, T.BinaryType):
-        return F.hex(c)
-    if isinstance(dtype, (T.MapType, T.StructType, T.VariantType)):
-        return F.to_json(c)
-    return c.cast("string")
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def value_key(name: str, dtype: T.DataType) -> Column:
-    """text_of, with texts beyond LONG_TEXT stood for by their first characters and the digest of the whole text."""
-    text = text_of(name, dtype)
-    if family(dtype) not in ("string", "other"):
-        return text
-    digest = F.concat(F.left(text, F.lit(SHOWN_CHARS)), F.lit("…"), F.sha2(text, 256))
-    return F.when(F.length(F.trim(text)) > LONG_TEXT, digest).otherwise(text)
+def text_of(name: str, dtype: T.DataType) -> str:
+    """SQL for the text form of a column."""
+    if isinstance(dtype, T.BinaryType):
+        return f"hex({quoted(name)})"
+    if isinstance(dtype, (T.MapType, T.StructType, T.VariantType)):
+        return f"to_json({quoted(name)})"
+    return f"CAST({quoted(name)} AS STRING)"
+
+
+# A long text is counted by a key of fixed-width fields: digest of the whole text, marks (the whole text looks like an
+# e-mail, like a phone, is short without the spaces around it), its length, its first characters, and that short form.
+# First positions, counted from 1:
+_DIGEST, _LENGTH = 64, 12
+_MARKS, _SIZE, _START = _DIGEST + 1, _DIGEST + 4, _DIGEST + 4 + _LENGTH
+
+
+def count_key(text: str) -> str:
+    """SQL for what equal texts are grouped by: the text, or a bounded key for a long one."""
+    short = f"length(trim({text})) <= {LONG_TEXT}"
+    mark = lambda test: f"if({test}, '1', '0')"
+    return (
+        f"CASE WHEN length({text}) > {LONG_TEXT} THEN concat(sha2({text}, 256), {mark(f"{text} RLIKE r'{EMAIL_VALUE}'")}, "
+        f"{mark(f"{text} RLIKE r'{PHONE_VALUE}'")}, {mark(short)}, lpad(CAST(length({text}) AS STRING), {_LENGTH}, '0'), "
+        f"left({text}, {SHOWN_CHARS}), if({short}, trim({text}), '')) ELSE {text} END")
+
+
+def counted_text(key: str) -> dict[str, str]:
+    """SQL of what a count key tells: value (unique per text), its length, e-mail and phone tests, its trimmed form."""
+    long = f"length({key}) > {LONG_TEXT}"
+    value = f"concat(substring({key}, {_START}, {SHOWN_CHARS}), '…', left({key}, {_DIGEST}))"
+    marked = lambda i: f"substring({key}, {_MARKS + i}, 1) = '1'"
+    rest = f"substring({key}, {_START + SHOWN_CHARS}, {LONG_TEXT})"
+    return {
+        "value": f"if({long}, {value}, {key})",
+        "text_len": f"if({long}, CAST(substring({key}, {_SIZE}, {_LENGTH}) AS INT), length({key}))",
+        "is_email": f"if({long}, {marked(0)}, {key} RLIKE r'{EMAIL_VALUE}')",
+        "is_phone": f"if({long}, {marked(1)}, {key} RLIKE r'{PHONE_VALUE}')",
+        "trimmed": f"if({long}, if({marked(2)}, {rest}, {value}), trim({key}))",
+    }
 
 
 def shown(value: Column) -> Column:
@@ -111,14 +134,14 @@ def is_real(c: Column, dtype: T.DataType, key_like: bool) -> Column:
     return c.isNotNull() & real
 
 
-def parse_date(text: Column, fmt: tuple[str, str, str]) -> Column:
-    """A timestamp where the trimmed text has exactly this format, else null."""
+def parse_date(text: str, fmt: tuple[str, str, str]) -> str:
+    """SQL for a timestamp where the trimmed text has exactly this format, else null."""
     _, required, java = fmt
-    return F.when(text.rlike(required), F.try_to_timestamp(text, F.lit(java)))
+    return f"CASE WHEN {text} RLIKE r'{required}' THEN try_to_timestamp({text}, '{java}') END"
 
 
-def parse_iso_timestamp(text: Column) -> Column:
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
+def parse_iso_timestamp(text: str) -> str:
+    return f"CASE WHEN {text} RLIKE r'^\d{{4}}-\d{{2}}-\d{{2}}' THEN try_cast({text} AS timestamp) END"
 
 
 def formats_named(names: list[str]) -> list[tuple[str, str, str]]:
@@ -126,39 +149,45 @@ def formats_named(names: list[str]) -> list[tuple[str, str, str]]:
     return [known[n] for n in names if n in known]
 
 
-def parse_any_date(text: Column, formats: list[tuple[str, str, str]] | None = None) -> Column:
-    """The first format that parses wins; ISO timestamps last."""
+def parse_any_date(text: str, formats: list[tuple[str, str, str]] | None = None) -> str:
+    """SQL for the date in a trimmed text: the first format that parses wins; ISO timestamps last."""
     tries = [parse_date(text, f) for f in (DATE_FORMATS if formats is None else formats)]
-    return F.coalesce(*tries, parse_iso_timestamp(text))
+    return f"coalesce({', '.join([*tries, parse_iso_timestamp(text)])})"
 
 
-def value_kind(value: Column, date_like: Column | bool) -> Column:
-    """int, decimal, bool, date:<format>, timestamp or text: what a text value would parse as."""
+def value_kind(text: str, date_like: Column | bool) -> Column:
+    """int, decimal, bool, date:<format>, timestamp or text: what a trimmed text would parse as."""
     date_like = F.lit(date_like) if isinstance(date_like, bool) else date_like
-    v = F.trim(value)
-    kind = F.when(date_like & parse_date(v, COMPACT_DATE).isNotNull(), F.lit("date:" + COMPACT_DATE[0]))
-    kind = kind.when(v.rlike(r"^[+-]?[0-9]+$"), F.lit("int"))
-    kind = kind.when(v.rlike(r"^[+-]?([0-9]+[.][0-9]*|[.][0-9]+)$"), F.lit("decimal"))
-    kind = kind.when(F.upper(v).isin(BOOL_WORDS), F.lit("bool"))
-    for fmt in DATE_FORMATS:
-        kind = kind.when(parse_date(v, fmt).isNotNull(), F.lit("date:" + fmt[0]))
-    return kind.when(parse_iso_timestamp(v).isNotNull(), F.lit("timestamp")).otherwise(F.lit("text"))
+    words = ", ".join(f"'{w}'" for w in BOOL_WORDS)
+    dates = " ".join(f"WHEN {parse_date(text, f)} IS NOT NULL THEN 'date:{f[0]}'" for f in DATE_FORMATS)
+    rest = F.expr(f"""
+        CASE WHEN {text} RLIKE '^[+-]?[0-9]+$' THEN 'int'
+             WHEN {text} RLIKE '^[+-]?([0-9]+[.][0-9]*|[.][0-9]+)$' THEN 'decimal'
+             WHEN upper({text}) IN ({words}) THEN 'bool' {dates}
+             WHEN {parse_iso_timestamp(text)} IS NOT NULL THEN 'timestamp' ELSE 'text' END""")
+    compact = F.expr(f"{parse_date(text, COMPACT_DATE)} IS NOT NULL")
+    return F.when(date_like & compact, F.lit("date:" + COMPACT_DATE[0])).otherwise(rest)
 
 
 def fold_accents(text: Column) -> Column:
     return F.translate(text, ACCENTED + ACCENTED.upper(), PLAIN + PLAIN.upper())
 
 
-def comparable(c: Column, dtype: T.DataType, as_date: bool) -> Column:
-    """Form in which two systems' values are compared; blanks and placeholders become null."""
-    v = F.trim(c.cast("string"))
+def comparable(value: str, dtype: T.DataType, as_date: bool) -> Column:
+    """Form in which two systems' values (SQL) are compared; blanks and placeholders become null."""
+    v = f"trim(CAST({value} AS STRING))"
     if as_date:
-        form = F.to_date(parse_any_date(v)).cast("string")
+        form = f"CAST(to_date({parse_any_date(v)}) AS STRING)"
     elif family(dtype) == "numeric":
-        form = v.try_cast("double").cast("string")
+        form = f"CAST(try_cast({v} AS double) AS STRING)"
     else:
-        form = F.lower(F.regexp_replace(v, r"\s+", " "))
-    return F.when(c.isNull() | (v == "") | is_placeholder(v, False), None).otherwise(form)
+        form = f"lower(regexp_replace({v}, r'\s+', ' '))"
+    return F.expr(f"CASE WHEN {v} <> '' AND NOT {placeholder_test(v)} THEN {form} END")
+
+
+def placeholder_test(text: str, key_like: bool = False) -> str:
+    words = ", ".join(f"'{w}'" for w in PLACEHOLDERS + (KEY_PLACEHOLDERS if key_like else []))
+    return f"upper({text}) IN ({words})"
 
 
 def spark_date_format(strftime: str) -> str:

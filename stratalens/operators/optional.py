@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,17 +48,16 @@ def fill_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     by_fill = flags.groupBy(fills.alias("fills")).agg(F.count(F.lit(1)).alias("n"))
     here = by_fill.select("n", "fills", F.explode("fills").alias("a"))
     both = here.select("n", "a", F.explode("fills").alias("b")).groupBy("a", "b").agg(F.sum("n").alias("both_filled"))
-    total = by_fill.agg(F.sum("n").alias("row_count"))
-    places = df.sparkSession.createDataFrame(list(enumerate(names)), "place int, name string")
-    pairs = places.select(F.col("place").alias("a"), F.col("name").alias("left")).join(
-        places.select(F.col("place").alias("b"), F.col("name").alias("right")), F.col("a") < F.col("b"))
+    rows = df.count()
+    pairs = df.sparkSession.createDataFrame(
+        [(a, b, names[a], names[b], rows) for a, b in itertools.combinations(range(len(names)), 2)],
+        "a int, b int, left string, right string, row_count bigint")
     single = both.where("a = b").select("a", F.col("both_filled").alias("filled"))
     joined = (
         pairs.join(both, ["a", "b"], "left")
         .join(single.select("a", F.col("filled").alias("left_filled")), "a", "left")
         .join(single.select(F.col("a").alias("b"), F.col("filled").alias("right_filled")), "b", "left")
         .na.fill(0, ["both_filled", "left_filled", "right_filled"])
-        .join(total)                # one row
     )
     union = F.col("left_filled") + F.col("right_filled") - F.col("both_filled")
     return joined.select("a", "b", "left", "right", "row_count", "left_filled", "right_filled", "both_filled",

@@ -1,8 +1,8 @@
 """Column profiles: counts, text and number statistics, frequent values, shapes, disguised nulls, type hints,
 histograms, outliers, flags and candidate keys.
 
-Two reads of each table: one aggregate without a shuffle of rows (chunks of columns, each reading only its own), and
-one value count (`value_freq`), from which everything that needs distinct values follows.
+Each table is read once, to count its values (`value_freq`); everything else is computed from the counts, whose size is
+that of the distinct values. What a profile keeps is a few rows per column, so those are small local results.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ TOP_VALUES, TOP_SHAPES, BINS, EXAMPLES = 10, 8, 20, 5
 HINT_SHARE, FENCE = 0.95, 3.0
 # Shares behind the flags.
 PII_SHARE, ONE_FORMAT_SHARE, HIGH_NULL_PCT, FEW_NEGATIVES = 0.8, 0.8, 50, 0.05
-CHUNK = 8             # columns per aggregate, small enough for whole-stage code generation
+ESTIMATE_ERROR = 0.01  # of distinct counts; five of it is the margin of the near-unique test
+CHUNK = 8              # columns per aggregate, small enough for whole-stage code generation
 
 
 def _stat_struct(m: ColumnMeta, dtype: T.DataType, approx: bool) -> Column:
     c, fam = col(m.column_name), m.family
-    comparable = c if fam != "other" else V.text_of(m.column_name, dtype)
+    comparable = c if fam != "other" else F.expr(V.text_of(m.column_name, dtype))
     none_int, none_num = F.lit(None).cast("long"), F.lit(None).cast("double")
     num = c.cast("double") if fam == "numeric" else none_num
     is_text = fam == "string"
@@ -54,7 +55,7 @@ def _stat_struct(m: ColumnMeta, dtype: T.DataType, approx: bool) -> Column:
         "negatives": F.count_if(num < 0) if fam == "numeric" else none_int,
         "email_rows": F.count_if(c.rlike(V.EMAIL_VALUE)) if is_text else none_int,
         "phone_rows": F.count_if(c.rlike(V.PHONE_VALUE)) if is_text else none_int,
-        "approx_distinct": F.approx_count_distinct(comparable) if approx else none_int,
+        "approx_distinct": F.approx_count_distinct(comparable, ESTIMATE_ERROR) if approx else none_int,
     }
     return F.struct(F.lit(m.col_id).alias("col_id"), *[v.alias(k) for k, v in fields.items()])
 
@@ -78,12 +79,16 @@ def column_stats(tables: Tables, metas: list[ColumnMeta], approx: bool = False)
 
 @dataclass
 class Counted:
-    """Tables with their column metadata and staged value counts: the input of every value-based operator."""
+    """Tables with their column metadata and value counts (nulls included): the input of every value-based operator."""
 
     spark: SparkSession
     tables: Tables
     metas: list[ColumnMeta]
-    freq: DataFrame
+    counts: DataFrame | None
+
+    @property
+    def freq(self) -> DataFrame:
+        return self.counts.where(F.col("value").isNotNull())
 
     @property
     def columns(self) -> DataFrame:
@@ -129,13 +134,11 @@ def patterns(counted: Counted, keep: int = TOP_SHAPES) -> DataFrame:
 
 
 def _placeholder_test(counted: Counted) -> Column:
-    value, col_id, fam = F.col("value"), F.col("col_id"), F.col("family")
-    key_like = col_id.isin(counted.key_like_ids())
-    moment = value.try_cast("timestamp")
+    fam, key_like = F.col("family"), F.col("col_id").isin(counted.key_like_ids())
     return (
-        F.when(fam == "string", V.is_placeholder(value, key_like))
-        .when(fam == "temporal", V.is_sentinel_year(moment))
-        .when((fam == "numeric") & key_like, value.try_cast("double").isin(0.0, -1.0))
+        F.when(fam == "string", V.is_placeholder(F.col("trimmed"), key_like))
+        .when(fam == "temporal", V.is_sentinel_year(F.timestamp_micros("whole")))
+        .when((fam == "numeric") & key_like, F.col("num").isin(0.0, -1.0))
         .otherwise(F.lit(False))
     )
 
@@ -147,24 +150,62 @@ def placeholders(counted: Counted, keep: int = EXAMPLES) -> DataFrame:
 
 
 def value_kinds(counted: Counted) -> DataFrame:
-    """(col_id, kind, n, distinct_values, most, placeholder_n, zeros): rows per kind of value, each distinct value
-    looked at once. kind is what the real values of text columns would parse as, null for everything else."""
-    value = F.col("value")
-    odd = _placeholder_test(counted)
-    text = F.col("family") == "string"
-    kind = F.when(text & (F.trim(value) != "") & ~odd,
-                  V.value_kind(value, F.col("col_id").isin(counted.date_like_ids())))
-    return counted.freq.groupBy("col_id", kind.alias("kind")).agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct_values"), F.max("n").alias("most"),
-        F.sum(F.when(odd, F.col("n")).otherwise(0)).alias("placeholder_n"),
-        F.sum(F.when(text & F.trim(value).rlike(r"^0[0-9]+$"), F.col("n")).otherwise(0)).alias("zeros"))
+    """One row per column and kind of value, each distinct value looked at once. kind is what the real values of text
+    columns would parse as, null for everything else; the sums are weighted by rows."""
+    n, num, trimmed = F.col("n"), F.col("num"), F.col("trimmed")
+    there, text = F.col("value").isNotNull(), F.col("family") == "string"
+    odd = there & _placeholder_test(counted)
+    kind = F.when(there & text & (trimmed != "") & ~odd,
+                  V.value_kind("trimmed", F.col("col_id").isin(counted.date_like_ids())))
+    rows_of = lambda test: F.sum(F.when(test, n).otherwise(0))
+    length = F.when(text, F.col("text_len")).cast("bigint")
+    return counted.counts.groupBy("col_id", kind.alias("kind")).agg(
+        F.sum("n").alias("n"), rows_of(~there).alias("null_n"), F.count("value").alias("distinct_values"),
+        F.max(F.when(there, n)).alias("most"), rows_of(odd).alias("placeholder_n"),
+        rows_of(text & trimmed.rlike(r"^0[0-9]+$")).alias("zeros"), rows_of(text & (trimmed == "")).alias("blank_n"),
+        F.min(length).alias("min_len"), F.max(length).alias("max_len"), F.sum(length * n).alias("sum_len"),
+        rows_of(text & F.col("is_email")).alias("email_n"), rows_of(text & F.col("is_phone")).alias("phone_n"),
+        F.sum(num * n).alias("sum_num"), F.min("num").alias("min_num"), F.max("num").alias("max_num"),
+        F.min("whole").alias("min_whole"), F.max("whole").alias("max_whole"), rows_of(num < 0).alias("negative_n"))
 
 
 def value_sums(kinds: DataFrame) -> DataFrame:
-    """(col_id, distinct_values, most, placeholder_count) from value_kinds."""
-    return kinds.groupBy("col_id").agg(
-        F.sum("distinct_values").alias("distinct_values"), F.max("most").alias("most"),
-        F.sum("placeholder_n").alias("placeholder_count"))
+    """One row per column from value_kinds: counts, lengths, mean, extremes."""
+    total = lambda c: F.sum(c).alias(c)
+    summed = kinds.groupBy("col_id").agg(
+        F.sum("n").alias("row_count"), *[total(c) for c in ("null_n", "distinct_values", "placeholder_n", "blank_n", "email_n",
+                                                            "phone_n", "sum_len", "sum_num", "negative_n")],
+        *[F.min(c).alias(c) for c in ("min_len", "min_num", "min_whole")],
+        *[F.max(c).alias(c) for c in ("most", "max_len", "max_num", "max_whole")])
+    nn = F.col("row_count") - F.col("null_n")
+    seconds = lambda c: F.col(c) / F.lit(1e6)
+    is_number = F.col("sum_num").isNotNull()
+    return summed.select(
+        "col_id", "row_count", nn.alias("non_null"), "distinct_values", "most", F.col("placeholder_n").alias("placeholder_count"),
+        "blank_n", "min_len", (F.col("sum_len") / nn).alias("avg_len"), "max_len", F.col("email_n").alias("email_rows"),
+        F.col("phone_n").alias("phone_rows"), (F.col("sum_num") / nn).alias("mean"), F.col("negative_n").alias("negatives"),
+        F.when(is_number, F.col("min_num")).otherwise(seconds("min_whole")).alias("low"),
+        F.when(is_number, F.col("max_num")).otherwise(seconds("max_whole")).alias("high"))
+
+
+def extremes(counted: Counted) -> DataFrame:
+    """(col_id, min_val, max_val): smallest and largest value of each column as text."""
+    numeric = counted.of("numeric").groupBy("col_id").agg(
+        F.min("num").alias("a"), F.max("num").alias("b"), F.min("whole").alias("c"), F.max("whole").alias("d"))
+    numeric = numeric.select("col_id", F.coalesce(F.col("c").cast("string"), F.col("a").cast("string")).alias("min_val"),
+                             F.coalesce(F.col("d").cast("string"), F.col("b").cast("string")).alias("max_val"))
+    # ISO texts of dates sort like the dates
+    other = counted.of("string", "temporal", "bool", "other").groupBy("col_id").agg(
+        F.min("value").alias("min_val"), F.max("value").alias("max_val"))
+    return numeric.unionByName(other)
+
+
+def deviations(counted: Counted, means: DataFrame) -> DataFrame:
+    """(col_id, stddev) around the known means (col_id, mean): one row per column."""
+    spread = F.sum(F.col("n") * F.pow(F.col("num") - F.col("mean"), F.lit(2)))
+    centred = counted.of("numeric").join(F.broadcast(means), "col_id")
+    return centred.groupBy("col_id").agg(
+        F.sqrt(spread / F.nullif(F.sum("n") - 1, F.lit(0))).alias("stddev"))
 
 
 def type_hints(kinds: DataFrame) -> DataFrame:
@@ -215,15 +256,13 @@ def type_hints(kinds: DataFrame) -> DataFrame:
 
 
 def numbers(counted: Counted) -> DataFrame:
-    """(col_id, num, n) of the numeric columns: each distinct number once, text forms of one number merged."""
-    num = F.col("value").try_cast("double").alias("num")
-    return counted.of("numeric").groupBy("col_id", num).agg(F.sum("n").alias("n"))
+    """(col_id, num, n) of the numeric columns."""
+    return counted.of("numeric").select("col_id", "num", "n")
 
 
 def moments(counted: Counted) -> DataFrame:
     """(col_id, num, n) of the temporal columns; num is microseconds."""
-    micros = F.unix_micros(F.col("value").try_cast("timestamp")).alias("num")
-    return counted.of("temporal").select("col_id", micros, "n")
+    return counted.of("temporal").select("col_id", F.col("whole").alias("num"), "n")
 
 
 def number_quantiles(counted: Counted, max_distinct: int | None = None) -> DataFrame:
@@ -243,21 +282,20 @@ def histograms(counted: Counted, bins: int = BINS, span: DataFrame | None = None
     """(col_id, bin, lo, hi, n): equal-width bins of numeric and temporal columns, empty bins included.
 
     span: (col_id, low, high) when the caller has it."""
-    seconds = F.when(F.col("family") == "temporal", _seconds(F.col("value").try_cast("timestamp")))
-    x = seconds.otherwise(F.col("value").try_cast("double"))
+    x = F.when(F.col("family") == "temporal", F.col("whole") / F.lit(1e6)).otherwise(F.col("num"))
     points = counted.of("numeric", "temporal").select("col_id", x.alias("x"), "n")
     if span is None:
         span = held(points.groupBy("col_id").agg(F.min("x").alias("low"), F.max("x").alias("high")))
     span = span.select("col_id", "low", "high").where("high > low")
     place = F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins)
-    held = (
+    in_bin = (
         points.join(F.broadcast(span), "col_id")
         .groupBy("col_id", F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.sum("n").alias("n"))
     )
     frame = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     width = (F.col("high") - F.col("low")) / bins
-    return frame.join(held, ["col_id", "bin"], "left").select(
+    return frame.join(in_bin, ["col_id", "bin"], "left").select(
         "col_id", "bin",
         F.round(F.col("low") + F.col("bin") * width, 4).alias("lo"),
         F.round(F.col("low") + (F.col("bin") + 1) * width, 4).alias("hi"),
@@ -281,7 +319,8 @@ def outliers(counted: Counted, quartiles: DataFrame, keep: int = EXAMPLES) -> tu
     per_column = fenced.groupBy("col_id").agg(
         F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("outlier_count"),
         F.round(F.max("fence_low"), 6).alias("outlier_low"), F.round(F.max("fence_high"), 6).alias("outlier_high"))
-    extreme = top_per_group(fenced.where(outside), ["col_id"],
+    far = fenced.where(outside).groupBy("col_id", "num", "mid").agg(F.sum("n").alias("n"))
+    extreme = top_per_group(far, ["col_id"],
                             [F.desc(F.abs(F.col("num") - F.col("mid"))), F.asc("num")], keep)
     return per_column, extreme.select("col_id", "rank", F.col("num").alias("value"), "n")
 
@@ -330,10 +369,12 @@ def profile(tables: Tables, approx: bool = False, columns: list[ColumnMeta] | No
     claimed."""
     counted = counted or count_values(tables, columns)
     # a few rows per column each; later steps carry them in the plan
-    stats = held(column_stats(tables, counted.metas, approx))
     kinds = held(value_kinds(counted))
     sums = held(value_sums(kinds))
     most = {r["col_id"]: r["distinct_values"] for r in sums.collect()}
+    stats = held(extremes(counted).join(deviations(counted, sums.select("col_id", "mean")), "col_id", "left"))
+    if approx:
+        stats = stats.join(column_stats(tables, counted.metas, True).select("col_id", "approx_distinct"), "col_id", "left")
     largest = lambda *fams: max([most.get(i, 0) for i in counted.ids(*fams)], default=0)
     number_q = number_quantiles(counted, largest("numeric"))
     moment_q = moment_quantiles(counted, largest("temporal"))
@@ -352,7 +393,7 @@ def profile(tables: Tables, approx: bool = False, columns: list[ColumnMeta] | No
                     F.lit(None).cast("string").alias("value"), lo.alias("lo"), hi.alias("hi"), "n")
           for df, part, rank, lo, hi in (
               (out_values, "outlier_values", "rank", F.col("value"), F.lit(None).cast("double")),
-              (histograms(counted, span=stats), "histogram", "bin", F.col("lo"), F.col("hi")),
+              (histograms(counted, span=sums), "histogram", "bin", F.col("lo"), F.col("hi")),
               (out_counts.withColumn("n", F.col("outlier_count")), "fences", "outlier_count", F.col("outlier_low"),
                F.col("outlier_high")))],
     ])
@@ -375,8 +416,10 @@ def profile(tables: Tables, approx: bool = False, columns: list[ColumnMeta] | No
     same_shape = (
         lists.where("part = 'patterns'").groupBy("col_id", V.squeezed_shape(F.col("value")).alias("s"))
         .agg(F.sum("n").alias("n")).groupBy("col_id").agg(F.max("n").alias("same_shape_rows")))
-    joined = counted.columns.join(stats, "col_id")
-    for part in (sums, type_hints(kinds), arrays, same_shape, quarts):
+    joined = counted.columns.join(sums, "col_id", "left").na.fill(0, ["row_count", "non_null", "distinct_values"])
+    text = F.col("family") == "string"
+    joined = joined.withColumn("blank_count", F.when(text, F.coalesce("blank_n", F.lit(0))))
+    for part in (stats, type_hints(kinds), arrays, same_shape, quarts):
         joined = joined.join(part, "col_id", "left")
     is_measured = (F.col("family") == "numeric") & (F.col("non_null") > 0) & ~F.col("column_name").rlike(KEYISH_NAME)
     empty = (F.col("row_count") - F.col("non_null")) + F.coalesce("blank_count", F.lit(0)) + F.coalesce(
@@ -405,6 +448,102 @@ def profile(tables: Tables, approx: bool = False, columns: list[ColumnMeta] | No
     return stage(with_flags(full), "profile")
 
 
+def approx_distinct(tables: Tables, metas: list[ColumnMeta] | None = None, near_unique: float = 0.95) -> DataFrame:
+    """(col_id, non_null, approx_distinct, exact_distinct): estimates for all columns without a shuffle of values, exact
+    counts only for columns that may be unique."""
+    metas = column_list(tables) if metas is None else metas
+    stats = held(column_stats(tables, metas, approx=True).select("col_id", "non_null", "approx_distinct"))
+    close = {r["col_id"] for r in stats.where(F.col("approx_distinct") >= near_unique * F.col("non_null")).collect()}
+    chosen = [m for m in metas if m.col_id in close]
+    if not chosen:
+        return stats.withColumn("exact_distinct", F.lit(None).cast("bigint"))
+    exact = value_freq(tables, chosen).groupBy("col_id").agg(F.count(F.lit(1)).alias("exact_distinct"))
+    return stats.join(exact, "col_id", "left")
+
+
+def whole_table_profile(tables: Tables, sample_rows: int, seed: int = 42) -> DataFrame:
+    """Details (frequent values, shapes, quantiles, histogram) from a sample of each bigger table, counts, extremes and
+    distinct counts from the whole table; the flags follow the whole-table numbers."""
+    sizes = {name: df.count() for name, df in tables.items()}
+    drawn = {name: df if sizes[name] <= sample_rows else df.sample(sample_rows / sizes[name], seed)
+             for name, df in tables.items()}
+    detail = profile(drawn)
+    metas = column_list(tables)
+    names = column_frame(next(iter(tables.values())).sparkSession, metas).select("col_id", "column_name")
+    counts = held(column_stats(tables, metas)).select(
+        "col_id", F.col("row_count").alias("_rows"), F.col("non_null").alias("_nn"), F.col("blank_count").alias("_blank"),
+        V.shown(F.col("min_val")).alias("_min"), V.shown(F.col("max_val")).alias("_max"))
+    distinct = approx_distinct(tables, metas).select(
+        "col_id", F.coalesce("exact_distinct", "approx_distinct").alias("_distinct"))
+    whole = names.join(counts, "col_id").join(distinct, "col_id").drop("column_name")
+    merged = detail.join(whole, "col_id").withColumns({
+        "row_count": F.col("_rows"), "non_null": F.col("_nn"), "null_count": F.col("_rows") - F.col("_nn"),
+        "null_pct": pct(F.col("_rows") - F.col("_nn"), F.col("_rows")), "blank_count": F.coalesce("_blank", "blank_count"),
+        "min_val": F.coalesce("_min", "min_val"), "max_val": F.coalesce("_max", "max_val"),
+        "distinct_count": F.col("_distinct"), "distinct_pct": pct(F.col("_distinct"), F.col("_nn"))})
+    sampled = F.col("non_null") / F.greatest(F.col("_nn"), F.lit(1))
+    merged = merged.withColumns({c: F.round(F.col(c) / sampled).cast("bigint") for c in ("email_rows", "phone_rows", "same_shape_rows")})
+    return stage(with_flags(merged.select(*detail.columns)), "profile")
+
+
+def resilient_profile(tables: Tables) -> DataFrame:
+    """profile(); a column that cannot be profiled keeps its counts and the flag profile_error and does not lose the
+    table. Values are read with try_ functions, so only a column that cannot be read at all gets here."""
+    try:
+        return profile(tables)
+    except Exception:  # noqa: BLE001 - find the column
+        parts = []
+        for m in column_list(tables):
+            name = next(n for n in tables if split_name(n) == (m.schema_name, m.table_name))
+            one = {name: tables[name].select(col(m.column_name))}
+            try:
+                part = profile(one)
+            except Exception:  # noqa: BLE001
+                part = _counts_only(tables[name], m)
+            parts.append(part.withColumns({"col_id": F.lit(m.col_id), "ordinal": F.lit(m.ordinal)}))
+        from functools import reduce
+
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _counts_only(df: DataFrame, m: ColumnMeta) -> DataFrame:
+    rows = df.agg(F.count(F.lit(1)).alias("row_count"))
+    return rows.select(
+        F.lit(m.schema_name).alias("schema_name"), F.lit(m.table_name).alias("table_name"),
+        F.lit(m.column_name).alias("column_name"), F.lit(m.data_type).alias("data_type"), F.lit(m.family).alias("family"),
+        "row_count", F.array(F.lit("profile_error")).alias("flags"))
+
+
+def precision_overflow(df: DataFrame, declared: dict[str, T.DecimalType]) -> DataFrame:
+    """(column_name, declared_type, max_abs) of columns with values that need more digits before the point than their
+    declared type has. df holds them in a wider type."""
+    row = F.array(*[F.struct(
+        F.lit(name).alias("column_name"), F.lit(kind.simpleString()).alias("declared_type"),
+        F.max(F.abs(col(name).cast("double"))).alias("max_abs"),
+        F.lit(float(10 ** (kind.precision - kind.scale))).alias("limit")) for name, kind in declared.items()])
+    found = df.agg(row.alias("r")).select(F.inline("r"))
+    return found.where(F.col("max_abs") >= F.col("limit")).select("column_name", "declared_type", "max_abs")
+
+
+KEY_DISTINCT = 0.98
+
+
+def key_fingerprints(counted: Counted, profiled: DataFrame, cap: int | None = None) -> DataFrame:
+    """(col_id, value, complete): distinct values of key-like columns (id-like name, or at least 98 % distinct).
+
+    Whole unless a cap is asked for; then a share of the values chosen by their hash, about `cap` of them."""
+    d, filled = F.col("distinct_count"), F.col("non_null")
+    whole_type = (F.col("family") == "string") | (
+        (F.col("family") == "numeric") & ~F.col("data_type").rlike("^(float|double)"))
+    named = F.col("column_name").rlike(KEYISH_NAME) | (d >= KEY_DISTINCT * filled)
+    keys = profiled.where(whole_type & named & (d >= 2)).select("col_id", "distinct_count")
+    values = keys.join(counted.freq, "col_id")
+    if cap is None:
+        return values.select("col_id", "value", F.lit(True).alias("complete"))
+    share = F.pmod(F.xxhash64("value"), F.lit(1_000_000)) < F.lit(cap) / F.col("distinct_count") * 1_000_000
+    return values.where(share).select("col_id", "value", (F.col("distinct_count") <= cap).alias("complete"))
+
+
 def table_profile(profiled: DataFrame) -> DataFrame:
     """One row per table: row and column counts, candidate keys."""
     key = F.when(F.array_contains("flags", "candidate_pk"), F.struct("ordinal", "column_name"))

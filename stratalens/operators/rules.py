@@ -153,7 +153,8 @@ def _failing(df: DataFrame, r: dict) -> Column | None:
     if rule == "regex":
         return c.isNotNull() & ~text.rlike(r["regex"])
     if rule == "valid_date":
-        return c.isNotNull() & V.parse_any_date(F.trim(text), V.formats_named([r["strftime"]])).isNull()
+        return c.isNotNull() & F.expr(
+            f"{V.parse_any_date(f'trim(CAST({V.quoted(name)} AS STRING))', V.formats_named([r['strftime']]))} IS NULL")
     if rule == "non_negative":
         return c < 0
     if rule == "range":

@@ -23,7 +23,7 @@ def moment_of(info: dict) -> Column | None:
         return c.cast("timestamp")
     if info["family"] == "string" and info["hint_type"] in ("DATE", "TIMESTAMP"):
         formats = V.formats_named([f["format"] for f in info["date_formats"] or []])
-        return V.parse_any_date(F.trim(c), formats)
+        return F.expr(V.parse_any_date(f"trim({V.quoted(info['column_name'])})", formats))
     return None
 
 
