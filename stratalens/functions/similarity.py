@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _lcs(a: str, b: str) -> int:
@@ -115,7 +116,7 @@ def _pairwise(score):
     def over(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else score(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    return F.pandas_udf(over, "double")
+    return F.pandas_udf(over, T.DoubleType())
 
 
 ratio_udf = _pairwise(ratio)

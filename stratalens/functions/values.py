@@ -141,7 +141,7 @@ def parse_date(text: str, fmt: tuple[str, str, str]) -> str:
 
 
 def parse_iso_timestamp(text: str) -> str:
-    return f"CASE WHEN {text} RLIKE r'^\d{{4}}-\d{{2}}-\d{{2}}' THEN try_cast({text} AS timestamp) END"
+    return rf"CASE WHEN {text} RLIKE r'^\d{{4}}-\d{{2}}-\d{{2}}' THEN try_cast({text} AS timestamp) END"
 
 
 def formats_named(names: list[str]) -> list[tuple[str, str, str]]:
@@ -181,7 +181,7 @@ def comparable(value: str, dtype: T.DataType, as_date: bool) -> Column:
     elif family(dtype) == "numeric":
         form = f"CAST(try_cast({v} AS double) AS STRING)"
     else:
-        form = f"lower(regexp_replace({v}, r'\s+', ' '))"
+        form = rf"lower(regexp_replace({v}, r'\s+', ' '))"
     return F.expr(f"CASE WHEN {v} <> '' AND NOT {placeholder_test(v)} THEN {form} END")
 
 

@@ -31,7 +31,7 @@ def export_catalog(catalog: DataFrame, profiled: DataFrame) -> DataFrame:
     p = profiled.select(
         *TABLE, "column_name", "min_val", "max_val", "effective_null_pct",
         _listed(F.slice("top_values", 1, 5), counted).alias("top_values"),
-        F.coalesce(F.col("patterns")[0]["shape"], F.lit("")).alias("top_pattern"),
+        F.coalesce(F.get("patterns", F.lit(0))["shape"], F.lit("")).alias("top_pattern"),
         F.array_join(F.transform("placeholder_values", lambda x: F.concat(x["value"], F.lit(" ×"), x["n"].cast("string"))), ", ")
         .alias("placeholders"), hint_text().alias("type_hint"), F.array_join("flags", ", ").alias("flag_list"))
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)

@@ -27,54 +27,28 @@ TOP_VALUES, TOP_SHAPES, BINS, EXAMPLES = 10, 8, 20, 5
 HINT_SHARE, FENCE = 0.95, 3.0
 # Shares behind the flags.
 PII_SHARE, ONE_FORMAT_SHARE, HIGH_NULL_PCT, FEW_NEGATIVES = 0.8, 0.8, 50, 0.05
-ESTIMATE_ERROR = 0.01  # of distinct counts; five of it is the margin of the near-unique test
-CHUNK = 8              # columns per aggregate, small enough for whole-stage code generation
-
-
-def _stat_struct(m: ColumnMeta, dtype: T.DataType, approx: bool) -> Column:
-    c, fam = col(m.column_name), m.family
-    comparable = c if fam != "other" else F.expr(V.text_of(m.column_name, dtype))
-    none_int, none_num = F.lit(None).cast("long"), F.lit(None).cast("double")
-    num = c.cast("double") if fam == "numeric" else none_num
-    is_text = fam == "string"
-    length = F.length(c).cast("long") if is_text else none_int
-    seconds = _seconds(c) if fam == "temporal" else num
-    fields = {
-        "row_count": F.count(F.lit(1)),
-        "non_null": F.count(c),
-        "min_val": F.min(comparable).cast("string"),
-        "max_val": F.max(comparable).cast("string"),
-        "blank_count": F.count_if(F.trim(c) == "") if is_text else none_int,
-        "min_len": F.min(length) if is_text else none_int,
-        "avg_len": F.avg(length) if is_text else none_num,
-        "max_len": F.max(length) if is_text else none_int,
-        "mean": F.avg(num) if fam == "numeric" else none_num,
-        "stddev": F.stddev_samp(num) if fam == "numeric" else none_num,
-        "low": F.min(seconds) if fam in ("numeric", "temporal") else none_num,
-        "high": F.max(seconds) if fam in ("numeric", "temporal") else none_num,
-        "negatives": F.count_if(num < 0) if fam == "numeric" else none_int,
-        "email_rows": F.count_if(c.rlike(V.EMAIL_VALUE)) if is_text else none_int,
-        "phone_rows": F.count_if(c.rlike(V.PHONE_VALUE)) if is_text else none_int,
-        "approx_distinct": F.approx_count_distinct(comparable, ESTIMATE_ERROR) if approx else none_int,
-    }
-    return F.struct(F.lit(m.col_id).alias("col_id"), *[v.alias(k) for k, v in fields.items()])
-
-
-def _seconds(moment: Column) -> Column:
-    return F.unix_micros(moment.cast("timestamp")) / F.lit(1e6)
-
-
-def column_stats(tables: Tables, metas: list[ColumnMeta], approx: bool = False) -> DataFrame:
-    """One row per column from aggregates that need no distinct values."""
-    parts = []
-    for name, df in tables.items():
+SKETCH_BITS = 14        # of distinct-count sketches: standard error below 1 %
+
+
+def whole_counts(tables: Tables, metas: list[ColumnMeta]) -> DataFrame:
+    """(col_id, row_count, non_null, blank_count, min_val, max_val, approx_distinct): one aggregate per table, combined in
+    the map tasks, for tables too big to count every value of. Only sketches and extremes leave a task."""
+    views, parts = {}, []
+    for i, (name, df) in enumerate(tables.items()):
         types = {f.name: f.dataType for f in df.schema.fields}
-        mine = [m for m in metas if (m.schema_name, m.table_name) == split_name(name)]
-        for i in range(0, len(mine), CHUNK):
-            chunk = mine[i:i + CHUNK]
-            one_row = df.agg(*[_stat_struct(m, types[m.column_name], approx).alias(str(m.col_id)) for m in chunk])
-            parts.append(one_row.select(F.inline(F.array(*[col(str(m.col_id)) for m in chunk]))))
-    return union_all(parts)
+        rows = []
+        for m in metas:
+            if (m.schema_name, m.table_name) != split_name(name):
+                continue
+            c = V.quoted(m.column_name) if m.family != "other" else V.text_of(m.column_name, types[m.column_name])
+            blank = f"count_if(trim({c}) = '')" if m.family == "string" else "CAST(NULL AS bigint)"
+            rows.append(f"""struct({m.col_id} AS col_id, count(1) AS row_count, count({c}) AS non_null, {blank} AS blank_count,
+                CAST(min({c}) AS string) AS min_val, CAST(max({c}) AS string) AS max_val,
+                hll_sketch_estimate(hll_sketch_agg(CAST({c} AS string), {SKETCH_BITS})) AS approx_distinct)""")
+        if rows:
+            views[f"t{i}"] = df
+            parts.append(f"SELECT inline(r) FROM (SELECT array({', '.join(rows)}) AS r FROM {{t{i}}})")
+    return next(iter(tables.values())).sparkSession.sql(" UNION ALL ".join(parts), **views)
 
 
 @dataclass
@@ -374,7 +348,7 @@ def profile(tables: Tables, approx: bool = False, columns: list[ColumnMeta] | No
     most = {r["col_id"]: r["distinct_values"] for r in sums.collect()}
     stats = held(extremes(counted).join(deviations(counted, sums.select("col_id", "mean")), "col_id", "left"))
     if approx:
-        stats = stats.join(column_stats(tables, counted.metas, True).select("col_id", "approx_distinct"), "col_id", "left")
+        stats = stats.join(whole_counts(tables, counted.metas).select("col_id", "approx_distinct"), "col_id", "left")
     largest = lambda *fams: max([most.get(i, 0) for i in counted.ids(*fams)], default=0)
     number_q = number_quantiles(counted, largest("numeric"))
     moment_q = moment_quantiles(counted, largest("temporal"))
@@ -452,12 +426,16 @@ def approx_distinct(tables: Tables, metas: list[ColumnMeta] | None = None, near_
     """(col_id, non_null, approx_distinct, exact_distinct): estimates for all columns without a shuffle of values, exact
     counts only for columns that may be unique."""
     metas = column_list(tables) if metas is None else metas
-    stats = held(column_stats(tables, metas, approx=True).select("col_id", "non_null", "approx_distinct"))
+    return _exact_if_near(tables, metas, held(whole_counts(tables, metas)), near_unique)
+
+
+def _exact_if_near(tables: Tables, metas: list[ColumnMeta], stats: DataFrame, near_unique: float = 0.95) -> DataFrame:
+    stats = stats.select("col_id", "non_null", "approx_distinct")
     close = {r["col_id"] for r in stats.where(F.col("approx_distinct") >= near_unique * F.col("non_null")).collect()}
     chosen = [m for m in metas if m.col_id in close]
     if not chosen:
         return stats.withColumn("exact_distinct", F.lit(None).cast("bigint"))
-    exact = value_freq(tables, chosen).groupBy("col_id").agg(F.count(F.lit(1)).alias("exact_distinct"))
+    exact = value_freq(tables, chosen).groupBy("col_id").agg(F.count("value").alias("exact_distinct"))
     return stats.join(exact, "col_id", "left")
 
 
@@ -470,11 +448,12 @@ def whole_table_profile(tables: Tables, sample_rows: int, seed: int = 42) -> Dat
     detail = profile(drawn)
     metas = column_list(tables)
     names = column_frame(next(iter(tables.values())).sparkSession, metas).select("col_id", "column_name")
-    counts = held(column_stats(tables, metas)).select(
+    whole = held(whole_counts(tables, metas))
+    distinct = _exact_if_near(tables, metas, whole).select(
+        "col_id", F.coalesce("exact_distinct", "approx_distinct").alias("_distinct"))
+    counts = whole.select(
         "col_id", F.col("row_count").alias("_rows"), F.col("non_null").alias("_nn"), F.col("blank_count").alias("_blank"),
         V.shown(F.col("min_val")).alias("_min"), V.shown(F.col("max_val")).alias("_max"))
-    distinct = approx_distinct(tables, metas).select(
-        "col_id", F.coalesce("exact_distinct", "approx_distinct").alias("_distinct"))
     whole = names.join(counts, "col_id").join(distinct, "col_id").drop("column_name")
     merged = detail.join(whole, "col_id").withColumns({
         "row_count": F.col("_rows"), "non_null": F.col("_nn"), "null_count": F.col("_rows") - F.col("_nn"),

@@ -66,9 +66,10 @@ def column_rules(profiled: DataFrame, codes: DataFrame, times: DataFrame) -> Dat
     no_blank = F.coalesce("blank_count", F.lit(0)) == 0
     pii = F.exists("flags", lambda f: f.startswith("pii_"))
     size = F.size("list_values")
-    shape, shape_share = F.col("patterns")[0]["shape"], F.col("patterns")[0]["n"] / F.col("non_null")
+    first = F.get("patterns", F.lit(0))
+    shape, shape_share = first["shape"], first["n"] / F.col("non_null")
     formats = F.col("date_formats")
-    first_format, format_share = formats[0]["format"], formats[0]["share"]
+    first_format, format_share = F.get(formats, F.lit(0))["format"], F.get(formats, F.lit(0))["share"]
     others = F.array_join(F.transform(F.slice(formats, 2, 20), lambda f: f["format"]), ", ")
     measured = (F.col("family") == "numeric") & ~name.rlike(KEYISH_NAME) & (F.col("non_null") > 0)
     negatives = F.coalesce("negative_count", F.lit(0))
