@@ -1,6 +1,6 @@
 """Imports every registration."""
 
-from registry import finding, linking, modelling, profiling, resolving  # noqa: F401
+from registry import cataloging, finding, linking, modelling, profiling, quality, resolving  # noqa: F401
 from registry.core import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
