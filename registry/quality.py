@@ -74,13 +74,16 @@ def suggest_keys(spark, sf):
         FROM {c} HAVING count(*) FILTER (WHERE {fk} NOT IN (SELECT {pk} FROM {p})) = 0"""
     for c, fk, p, pk, _ in LINKS if c in _INPUT and p in _INPUT]))
 def suggest_references(spark, sf):
-    rules = _rules(spark, sf).where((F.col("rule") == "foreign_key") & F.col("table_name").isin(_INPUT))
+    rules = _rules(spark, sf).where((F.col("rule") == "foreign_key") & F.col("table_name").isin(_INPUT)
+                                    & F.col("ref_table").isin([f"main.{t}" for t in _INPUT]))
     return rules.select("table_name", F.col("columns")[0].alias("column_name"), "ref_table", "ref_column", "criticality", "passing_pct")
 
 
 @query("suggest_conditional", with_views("orders_sparse", "orders_txt") + """
     SELECT 'orders_sparse' AS table_name, 'filled_when' AS rule, c AS column_name, 'F' AS detail, 100.0::DOUBLE AS passing_pct
     FROM (SELECT unnest(['cancel_reason', 'cancel_code']) AS c FROM (SELECT 1 FROM orders_sparse LIMIT 1))
+    UNION ALL SELECT 'orders_txt', 'filled_when', 'closed_on', 'Y', 100.0 FROM orders_txt HAVING count(*) > 0
+    UNION ALL SELECT 'orders_txt', 'filled_when', 'agent_id', 'F,O', 100.0 FROM orders_txt HAVING count(*) > 0
     UNION ALL
     SELECT 'orders_txt', 'valid_date', 'order_dt_txt', 'yyyy-MM-dd', round(100 * round(iso / real_n, 4), 2)
     FROM (SELECT count(*) FILTER (WHERE try_strptime(order_dt_txt, '%Y-%m-%d') IS NOT NULL) AS iso,
@@ -128,7 +131,7 @@ def spark_date_format(spark, sf):
     UNION ALL SELECT 'orders_sparse', 'in_list', 'cancel_code', count(*), count(*) FILTER (WHERE cancel_code NOT IN ('C1', 'C2')) FROM orders_sparse
     UNION ALL SELECT 'orders_sparse', 'regex', 'note_txt', count(*), count(*) FILTER (WHERE NOT regexp_matches(note_txt, '^note [0-9]+$')) FROM orders_sparse
     UNION ALL SELECT 'orders_txt', 'not_empty', 'order_dt_txt', count(*), count(*) FILTER (WHERE order_dt_txt IS NULL OR trim(order_dt_txt) = '') FROM orders_txt
-    UNION ALL SELECT 'orders_txt', 'valid_date', 'order_dt_txt', count(*), count(*) FILTER (WHERE order_dt_txt IS NOT NULL AND try_strptime(trim(order_dt_txt), '%d/%m/%Y') IS NULL
+    UNION ALL SELECT 'orders_txt', 'valid_date', 'order_dt_txt', count(*), count(*) FILTER (WHERE order_dt_txt IS NOT NULL
         AND try_strptime(trim(order_dt_txt), '%Y-%m-%d') IS NULL) FROM orders_txt""")
 def evaluate_rules(spark, sf):
     """Rows that break each of a set of rules, on tables with planted defects."""

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from stratalens.functions import values as V
 from stratalens.operators.quantiles import quantiles
 from stratalens.operators.value_freq import Tables, top_per_group, union_all, value_freq
-from stratalens.staging import held, stage
+from stratalens.staging import held, stage, together
 from stratalens.types import (
     KEYISH_NAME, PII_NAME, ColumnMeta, col, column_frame, column_list, dateish, keyish, pct, split_name,
 )
@@ -346,28 +346,29 @@ def profile(tables: Tables, approx: bool = False, columns: list[ColumnMeta] | No
     kinds = held(value_kinds(counted))
     sums = held(value_sums(kinds))
     most = {r["col_id"]: r["distinct_values"] for r in sums.collect()}
-    stats = held(extremes(counted).join(deviations(counted, sums.select("col_id", "mean")), "col_id", "left"))
+    largest = lambda *fams: max([most.get(i, 0) for i in counted.ids(*fams)], default=0)
+    stats, quarts, frequent, shaped, odd, bars = together(
+        lambda: held(extremes(counted).join(deviations(counted, sums.select("col_id", "mean")), "col_id", "left")),
+        lambda: held(_texts(number_quantiles(counted, largest("numeric"))).unionByName(
+            _texts(moment_quantiles(counted, largest("temporal"))))),
+        lambda: held(top_values(counted, top_n)), lambda: held(patterns(counted)), lambda: held(placeholders(counted)),
+        lambda: held(histograms(counted, span=sums)))
     if approx:
         stats = stats.join(whole_counts(tables, counted.metas).select("col_id", "approx_distinct"), "col_id", "left")
-    largest = lambda *fams: max([most.get(i, 0) for i in counted.ids(*fams)], default=0)
-    number_q = number_quantiles(counted, largest("numeric"))
-    moment_q = moment_quantiles(counted, largest("temporal"))
-    quarts = held(_texts(number_q).unionByName(_texts(moment_q)))
     fences = quarts.where(F.col("col_id").isin(counted.ids("numeric"))).select(
         "col_id", *[F.col(p).cast("double").alias(p) for p in ("p25", "p50", "p75")])
     out_counts, out_values = outliers(counted, fences)
-    shapes = patterns(counted)
     text_rows = lambda df, name: df.select(
         "col_id", F.lit(name).alias("part"), "rank", F.col(df.columns[2]).cast("string").alias("value"),
         F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), "n")
     ranked = union_all([
-        text_rows(top_values(counted, top_n), "top_values"), text_rows(shapes, "patterns"),
-        text_rows(placeholders(counted), "placeholder_values"),
+        text_rows(frequent, "top_values"), text_rows(shaped, "patterns"),
+        text_rows(odd, "placeholder_values"),
         *[df.select("col_id", F.lit(part).alias("part"), F.col(rank).alias("rank"),
                     F.lit(None).cast("string").alias("value"), lo.alias("lo"), hi.alias("hi"), "n")
           for df, part, rank, lo, hi in (
               (out_values, "outlier_values", "rank", F.col("value"), F.lit(None).cast("double")),
-              (histograms(counted, span=sums), "histogram", "bin", F.col("lo"), F.col("hi")),
+              (bars, "histogram", "bin", F.col("lo"), F.col("hi")),
               (out_counts.withColumn("n", F.col("outlier_count")), "fences", "outlier_count", F.col("outlier_low"),
                F.col("outlier_high")))],
     ])

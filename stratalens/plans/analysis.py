@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stratalens.operators import codes, dependencies, grain, optional, profile, relate, rules, time_coverage
 from stratalens.operators.profile import Counted, count_values
 from stratalens.operators.value_freq import Tables, union_all
-from stratalens.staging import held, stage
+from stratalens.staging import held, stage, together
 from stratalens.types import split_name
 
 KINDS = {"grain", "time", "deps", "codes", "optional"}
@@ -66,16 +66,22 @@ def analyse(tables: Tables, only: set[str] | None = None, deep: bool = False) ->
     only = KINDS if only is None else only
     counted = count_values(tables)
     profiled = profile.profile(tables, counted=counted)
-    links = relate.discover_relationships(counted.freq, profiled, deep=deep)
-    result = Analysis(counted, profiled, profile.table_profile(profiled), links)
-    found: dict[str, list[DataFrame]] = {}
-    for name, df in tables.items():
-        schema, table = split_name(name)
+    def insights(name: str) -> dict[str, DataFrame] | tuple[str, str, str]:
         try:
-            for kind, part in table_insights(df, profiled, schema, table, only).items():
-                found.setdefault(kind, []).append(part)
+            return table_insights(tables[name], profiled, *split_name(name), only)
         except Exception as problem:  # noqa: BLE001 - reported per table
-            result.errors.append((name, "insights", (str(problem) or type(problem).__name__).splitlines()[0]))
+            return name, "insights", (str(problem) or type(problem).__name__).splitlines()[0]
+
+    links, *each = together(lambda: relate.discover_relationships(counted.freq, profiled, deep=deep),
+                            *[lambda n=name: insights(n) for name in tables])
+    result = Analysis(counted, profiled, profile.table_profile(profiled), links)
+    found: dict[str, list[DataFrame]] = {}
+    for parts in each:
+        if isinstance(parts, tuple):
+            result.errors.append(parts)
+            continue
+        for kind, part in parts.items():
+            found.setdefault(kind, []).append(part)
     for kind, parts in found.items():
         setattr(result, kind, union_all(parts))
     if "codes" in only:

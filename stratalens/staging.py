@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +39,9 @@ def held(df: DataFrame) -> DataFrame:
 
     Only for metadata: the row count must be bounded by the number of columns, never by the number of rows."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def together(*jobs: Callable, at_once: int = 4) -> list:
+    """Run independent jobs at the same time, so that small ones share the cluster; results in the order given."""
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
