@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from registry.core import query, table, tables, union_sql, view, with_views
 from stratalens.operators import codes as C
 from stratalens.operators import dependencies as D
+from stratalens.operators import export as X
 from stratalens.operators import grain as G
 from stratalens.operators import optional as O
 from stratalens.operators import time_coverage as TC
@@ -359,3 +360,8 @@ def compare_code_lists(spark, sf):
     SELECT *, CASE WHEN left_value = 'MACHINERY' THEN 'MACHINES' WHEN right_value = 'MACHINES' THEN 'MACHINERY' END AS suggestion FROM ({_COMPARE})""")
 def suggest_code_matches(spark, sf):
     return C.suggest_matches(_two_lists(spark, sf))
+
+
+@query("export_dependencies", _DEPS + " SELECT determinant, dependent, round(100 * strength, 2) AS strength_pct, exceptions, kind FROM edges")
+def export_dependencies(spark, sf):
+    return X.export_dependencies(_flat(spark, sf)[2])
