@@ -233,9 +233,6 @@ def _annotated(spark, sf):
     return view(spark, sf, "annotations").withColumn("updated_at", F.lit("2024-01-01").cast("timestamp")).drop("version")
 
 
-_NEW = """(SELECT lower(column_name) AS c, column_name, table_name FROM snapshot_new)"""
-
-
 @query("orphan_annotations", with_views("annotations", "snapshot_new") + """
     SELECT table_name, column_name, CASE WHEN table_name IN (SELECT table_name FROM snapshot_new) THEN 'column no longer exists'
            ELSE 'table no longer in the remote schema' END AS reason FROM annotations a

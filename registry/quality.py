@@ -14,13 +14,12 @@ from stratalens.plans.analysis import analyse
 _INPUT = ["nation", "customer", "orders"]
 
 
-def _tables(spark, sf):
-    return {**tables(spark, sf, *_INPUT), "orders_sparse": view(spark, sf, "orders_sparse"), "charges": view(spark, sf, "charges"),
-            "orders_txt": view(spark, sf, "orders_txt")}
+_PLANTED = ["orders_sparse", "charges", "orders_txt"]
 
 
-def _rules(spark, sf):
-    return analyse(_tables(spark, sf)).rules
+def _rules(spark, sf, *names):
+    """The rules suggested for these tables."""
+    return analyse({n: (view if n in _PLANTED else table)(spark, sf, n) for n in names}).rules
 
 
 _COLUMNS = {"nation": {"n_nationkey": "i", "n_name": "s", "n_regionkey": "i"},
@@ -33,7 +32,7 @@ _ALL = [(t, c, k) for t, cs in _COLUMNS.items() for c, k in cs.items()]
     f"""SELECT '{t}' AS table_name, '{c}' AS column_name, '{'not_empty' if k == 's' else 'not_null'}' AS rule, 'error' AS criticality
         FROM {t} HAVING count({c}) = count(*)""" for t, c, k in _ALL]))
 def suggest_not_null(spark, sf):
-    rules = _rules(spark, sf).where(F.col("rule").isin("not_null", "not_empty") & F.col("table_name").isin(_INPUT))
+    rules = _rules(spark, sf, *_INPUT).where(F.col("rule").isin("not_null", "not_empty") & F.col("table_name").isin(_INPUT))
     return rules.select("table_name", F.col("columns")[0].alias("column_name"), "rule", "criticality")
 
 
@@ -45,7 +44,7 @@ def suggest_not_null(spark, sf):
     .replace("HAVING count(*) BETWEEN 2 AND 50\nUNION ALL\nSELECT 'customer'", "HAVING count(*) < 0\nUNION ALL\nSELECT 'customer'"))
 def suggest_in_list(spark, sf):
     """Code lists as allowed values; n_regionkey and c_nationkey hold the placeholder 0 and get none."""
-    rules = _rules(spark, sf).where((F.col("rule") == "in_list") & F.col("table_name").isin(_INPUT))
+    rules = _rules(spark, sf, *_INPUT).where((F.col("rule") == "in_list") & F.col("table_name").isin(_INPUT))
     return rules.select("table_name", F.col("columns")[0].alias("column_name"), F.array_join("allowed", "|").alias("allowed"), "reason")
 
 
@@ -57,7 +56,7 @@ def suggest_in_list(spark, sf):
     FROM charges, (SELECT round(a - 3 * (b - a), 6) AS lo, round(b + 3 * (b - a), 6) AS hi FROM (
         SELECT quantile_cont(amount, 0.25) AS a, quantile_cont(amount, 0.75) AS b FROM charges))""")
 def suggest_ranges(spark, sf):
-    rules = _rules(spark, sf).where((F.col("table_name") == "charges") & F.col("rule").isin("non_negative", "range"))
+    rules = _rules(spark, sf, "charges").where((F.col("table_name") == "charges") & F.col("rule").isin("non_negative", "range"))
     return rules.select("rule", F.col("columns")[0].alias("column_name"), "criticality", "passing_pct", "min_limit", "max_limit")
 
 
@@ -65,7 +64,7 @@ def suggest_ranges(spark, sf):
     f"SELECT '{t}' AS table_name, 'unique' AS rule, '{c}' AS columns, 100.0::DOUBLE AS passing_pct FROM {t} HAVING count(DISTINCT {c}) = count(*)"
     for t, c in [("nation", "n_nationkey"), ("customer", "c_custkey"), ("orders", "o_orderkey")]]))
 def suggest_keys(spark, sf):
-    rules = _rules(spark, sf).where(F.col("rule").isin("unique", "unique_combo") & F.col("table_name").isin(_INPUT))
+    rules = _rules(spark, sf, *_INPUT).where(F.col("rule").isin("unique", "unique_combo") & F.col("table_name").isin(_INPUT))
     return rules.select("table_name", "rule", F.array_join("columns", "+").alias("columns"), "passing_pct")
 
 
@@ -74,7 +73,7 @@ def suggest_keys(spark, sf):
         FROM {c} HAVING count(*) FILTER (WHERE {fk} NOT IN (SELECT {pk} FROM {p})) = 0"""
     for c, fk, p, pk, _ in LINKS if c in _INPUT and p in _INPUT]))
 def suggest_references(spark, sf):
-    rules = _rules(spark, sf).where((F.col("rule") == "foreign_key") & F.col("table_name").isin(_INPUT)
+    rules = _rules(spark, sf, *_INPUT).where((F.col("rule") == "foreign_key") & F.col("table_name").isin(_INPUT)
                                     & F.col("ref_table").isin([f"main.{t}" for t in _INPUT]))
     return rules.select("table_name", F.col("columns")[0].alias("column_name"), "ref_table", "ref_column", "criticality", "passing_pct")
 
@@ -89,7 +88,7 @@ def suggest_references(spark, sf):
     FROM (SELECT count(*) FILTER (WHERE try_strptime(order_dt_txt, '%Y-%m-%d') IS NOT NULL) AS iso,
                  count(*) FILTER (WHERE trim(order_dt_txt) NOT IN ('', 'N/A', '-', 'unknown')) AS real_n FROM orders_txt)""")
 def suggest_conditional(spark, sf):
-    rules = _rules(spark, sf).where(F.col("rule").isin("filled_when", "valid_date"))
+    rules = _rules(spark, sf, "orders_sparse", "orders_txt").where(F.col("rule").isin("filled_when", "valid_date"))
     detail = F.coalesce("date_format", F.array_join("when_values", ","))
     return rules.select("table_name", "rule", F.col("columns")[0].alias("column_name"), detail.alias("detail"), "passing_pct")
 
@@ -97,7 +96,7 @@ def suggest_conditional(spark, sf):
 @query("suggest_rules")
 def suggest_rules(spark, sf):
     """All suggested rules with reasons."""
-    return _rules(spark, sf)
+    return _rules(spark, sf, *_INPUT, *_PLANTED)
 
 
 @query("pattern_regex", """
@@ -106,7 +105,7 @@ def pattern_regex(spark, sf):
     """Shapes of all values turned into patterns that the values match."""
     brands = table(spark, sf, "part").select(F.col("p_brand").alias("value")).distinct()
     regex = V.pattern_regex(V.shape(F.col("value")))
-    return brands.select("value", regex.alias("regex"), F.expr("true").alias("fits")).withColumn("fits", F.regexp_like("value", F.col("regex")))
+    return brands.select("value", regex.alias("regex")).withColumn("fits", F.regexp_like("value", F.col("regex")))
 
 
 @query("spark_date_format", with_views("orders_txt") + """
@@ -163,7 +162,7 @@ def evaluate_suggested(spark, sf):
 @query("export_dq_rules")
 def export_dq_rules(spark, sf):
     """The rules as DQX checks, Great Expectations expectations and Purview rows."""
-    rules = _rules(spark, sf)
+    rules = _rules(spark, sf, *_INPUT, *_PLANTED)
     part = lambda df, kind, text: df.select(F.lit(kind).alias("kind"), "rule", F.col(text).alias("content"))
     purview = X.export_purview(rules).withColumn("content", F.concat_ws(" | ", "table", "columns", "purview_rule_type", "setting_or_expression"))
     return part(X.export_dqx(rules), "dqx", "check_json").union(part(X.export_gx(rules), "gx", "expectation_json")).union(
