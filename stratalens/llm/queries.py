@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import langid
+from stratalens.llm import langid, pieces
 from stratalens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,19 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def public_model(name: str = "piece_bpe_32k.model") -> str:
+    """A tokenizer file's place on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(read(spark, sf_dir, "documents"))
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.tokenize(read(spark, sf_dir, "documents").select("doc_id", "text"), pieces.model_bytes(public_model()))
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
