@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import langid, pieces, secrets, topk
+from stratalens.llm import chat, langid, pieces, secrets, topk, warc
 from stratalens.llm.common import read
+from stratalens.staging import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +47,21 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(read(spark, sf_dir, "pages"), folder)
+    return warc.read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql("SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, :said AS text UNION ALL SELECT -1L, 1L, 'assistant', :said", args={"said": said})
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    vocabulary = pieces.model_bytes(public_model("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+    return chat.read_back(chat.formatted(turns, *vocabulary), *vocabulary)
