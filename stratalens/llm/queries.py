@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import chat, langid, pieces, secrets, topk, warc
+from stratalens.llm import chat, langid, ngram_join, pieces, secrets, topk, warc
 from stratalens.llm.common import read
 from stratalens.staging import shared_folder
 
@@ -65,3 +65,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     vocabulary = pieces.model_bytes(public_model("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
     return chat.read_back(chat.formatted(turns, *vocabulary), *vocabulary)
+
+
+@query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(read(spark, sf_dir, "documents"))
