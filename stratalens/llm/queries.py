@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import chat, langid, ngram_join, pieces, secrets, topk, warc
+from stratalens.llm import chat, decontaminate, langid, ngram_join, pieces, secrets, topk, warc
 from stratalens.llm.common import read
 from stratalens.staging import shared_folder
 
@@ -70,3 +70,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
