@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import chat, decontaminate, langid, ngram_join, pieces, secrets, topk, toxicity, warc
+from stratalens.llm import chat, decontaminate, langid, lm_score, ngram_join, pieces, secrets, topk, toxicity, warc
 from stratalens.llm.common import read
 from stratalens.staging import shared_folder
 
@@ -81,3 +81,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.judged(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+@query
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(read(spark, sf_dir, "documents"))
