@@ -135,8 +135,8 @@ def digests(docs: DataFrame, ledger: str) -> DataFrame:
     return paths.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
-def redact(docs: DataFrame, ledger: str) -> DataFrame:
-    """docs with every finding in text replaced; other rows and columns stay as they are."""
+def redact(docs: DataFrame, ledger: str, size: str | None = None) -> DataFrame:
+    """docs with every finding in text replaced and, if named, the column size set to the new length; other rows stay as they are."""
     found = findings(scan(docs, ledger))
     with_blob = docs.withColumn("_blob", blob())
     affected = fitting(found.select("_blob").distinct())
@@ -150,4 +150,6 @@ def redact(docs: DataFrame, ledger: str) -> DataFrame:
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")).cast(state)
     masked = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
     secret = with_blob.join(affected, "_blob", "left_semi").join(by_blob(found), "_blob").withColumn("text", masked)
+    if size:
+        secret = secret.withColumn(size, F.length("text").cast(docs.schema[size].dataType))
     return with_blob.join(affected, "_blob", "left_anti").select(docs.columns).unionByName(secret.select(docs.columns))
