@@ -1,4 +1,8 @@
-"""A training corpus from `documents`: each stage applies one operator of stratalens.llm, is written as Parquet and read again."""
+"""A training corpus from `documents`: each stage applies one operator of stratalens.llm, is written as Parquet and read again.
+
+Every stage takes all that its predecessor kept, and all but the last return its columns. Null, empty, repeated and very long texts pass
+through the operators as their docstrings say; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -7,21 +11,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from stratalens.llm import langid
+from stratalens.llm import decontaminate, langid, ngram_join, pieces, secrets
 from stratalens.llm.common import bucket
-from stratalens.staging import shared_folder
+from stratalens.llm.queries import public_model
+from stratalens.staging import shared_folder, stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, whose language can so be told; the others go."""
+    """Documents in which a language can be told; those without a letter or a text go."""
     found = langid.identify(docs, bucket("doc_id", 3) != 1)
     return found.filter(F.col("lang_pred") != "und").select(docs.columns)
 
 
-STAGES: list[tuple[str, Stage]] = [("language_id", known_language)]
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similar texts, directly or through others, the one with the smallest id stays, once."""
+    found = stage(ngram_join.classes(docs.select("doc_id", "text")), "classes")
+    dropped = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    # ids that stand on several rows are rare; only these are ranked
+    repeated = found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    again = kept.join(repeated, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")))
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(again.filter("_nth = 1").drop("_nth")).select(docs.columns)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced in the text and n_chars counted again where that changed it."""
+    return secrets.redact(docs, secrets.new_ledger(spark), size="n_chars" if "n_chars" in docs.columns else None)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document in place of its text, with digests of the ids and of what they decode to."""
+    return pieces.tokenize(docs, pieces.model_bytes(public_model()), with_ids=True)
+
+
+STAGES: list[tuple[str, Stage]] = [("language_id", known_language), ("ngram_join", one_of_each), ("decontamination", without_benchmarks),
+                                   ("secret_scan", without_secrets), ("sentencepiece", tokens)]
 
 #: SQL has no form of the learned and iterated stages; the tests compare each with brute force.
 ORACLE_SQL = None
@@ -31,7 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}-{name}")
+    for number, (name, step) in enumerate(STAGES):
+        step(spark, docs, sf_dir).write.parquet(f"{folder}/{number}-{name}")
         docs = spark.read.parquet(f"{folder}/{number}-{name}")
     return docs
