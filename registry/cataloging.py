@@ -305,12 +305,16 @@ def stale_profiles(spark, sf):
 @query("data_freshness", """
     SELECT 'orders' AS table_name, count(*) AS stored_rows, count(*) AS current_rows, FALSE AS is_stale FROM orders
     UNION ALL SELECT 'customer', count(*), count(*), TRUE FROM customer
-    UNION ALL SELECT 'nation', count(*), count(*) - 1, TRUE FROM nation""")
+    UNION ALL SELECT 'nation', count(*), count(*) - 1, TRUE FROM nation
+    UNION ALL SELECT 'supplier', count(*), count(*), TRUE FROM supplier""")
 def data_freshness(spark, sf):
-    """Content versions: the same rows in another order, one changed value, one missing row."""
-    before = tables(spark, sf, "orders", "customer", "nation")
+    """Content versions: the same rows in another order, one changed value, one missing row, one value moved to another column."""
+    before = tables(spark, sf, "orders", "customer", "nation", "supplier")
+    moved = before["supplier"].withColumn("s_nationkey", F.col("s_suppkey")).withColumn("none", F.lit(None).cast("bigint"))
+    before["supplier"] = moved
     customer = before["customer"].withColumn("c_acctbal", F.when(F.col("c_custkey") == 7, F.lit(0.01)).otherwise(F.col("c_acctbal")))
-    after = {"orders": before["orders"].orderBy(F.desc("o_orderdate")), "customer": customer, "nation": before["nation"].where("n_nationkey <> 3")}
+    after = {"orders": before["orders"].orderBy(F.desc("o_orderdate")), "customer": customer, "nation": before["nation"].where("n_nationkey <> 3"),
+             "supplier": moved.withColumns({"s_nationkey": F.col("none"), "none": F.col("s_nationkey")})}
     return K.data_freshness(stage(K.content_versions(before), "versions"), K.content_versions(after)).drop("schema_name")
 
 

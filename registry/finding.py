@@ -111,7 +111,18 @@ def value_search_date(spark, sf):
 def value_search_exact(spark, sf):
     """Exact search over stored value counts instead of the tables."""
     counted = count_values(tables(spark, sf, *STAR))
-    return L.value_search_counted(counted.freq, counted.columns, "BUILDING", exact=True).select("table_name", "column_name", "hits")
+    return L.value_search_counted(counted, "BUILDING", exact=True).select("table_name", "column_name", "hits")
+
+
+@query("value_search_long", """
+    SELECT 'documents' AS table_name, 'text' AS column_name, count(*) AS hits FROM documents WHERE contains(lower(text), 'license') HAVING count(*) > 0
+    UNION ALL SELECT 'pages', 'html', count(*) FROM pages WHERE contains(lower(html), 'license') HAVING count(*) > 0
+    UNION ALL SELECT 'pages', 'url', count(*) FROM pages WHERE contains(lower(url), 'license') HAVING count(*) > 0
+    UNION ALL SELECT 'conversations', 'text', count(*) FROM conversations WHERE contains(lower(text), 'license') HAVING count(*) > 0""")
+def value_search_long(spark, sf):
+    """Search over counts finds words anywhere in long texts."""
+    counted = count_values(tables(spark, sf, "documents", "pages", "conversations"))
+    return L.value_search_counted(counted, "license").select("table_name", "column_name", "hits")
 
 
 @query("breakdown", with_views("orders_sparse") + """
@@ -152,11 +163,28 @@ def mask_twice(spark, sf):
 
 
 @query("mask_value_counts", with_views("people") + """
-    SELECT 'pii_' || left(sha256('pepper' || last_name), 16) AS value, count(*) AS n FROM people GROUP BY 1""")
+, m AS (SELECT person_id, 'pii_' || left(sha256('pepper' || last_name), 16) AS last_name,
+        'pii_' || left(sha256('pepper' || email_address), 16) || '@' || split_part(email_address, '@', -1) AS email_address,
+        'pii_' || left(sha256('pepper' || repeat(last_name || ' ', 60)), 16) AS letter, first_name FROM people),
+    v AS (SELECT 'last_name' AS column_name, last_name AS value FROM m UNION ALL SELECT 'email_address', email_address FROM m
+        UNION ALL SELECT 'letter', letter FROM m UNION ALL SELECT 'first_name', first_name FROM m)
+    SELECT column_name, value, trim(value) AS trimmed, length(value) AS text_len, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY 1, 2""")
 def mask_value_counts(spark, sf):
-    counted = count_values({"people": view(spark, sf, "people").select("last_name")})
-    kinds = spark.createDataFrame([(0, "other")], "col_id int, kind string")
-    return V.mask_value_counts(counted.freq, kinds, SALT).select("value", "n")
+    """Counts of masked columns, one with long texts, and of one that isn't masked; all columns that are made of a value."""
+    people = view(spark, sf, "people").withColumn("letter", F.repeat(F.concat("last_name", F.lit(" ")), 60)).select("last_name", "email_address", "letter", "first_name")
+    counted = V.masked_counts({"people": people}, {"people": {"last_name": "other", "email_address": "email", "letter": "other"}}, SALT)
+    return counted.freq.join(counted.columns.select("col_id", "column_name"), "col_id").select("column_name", "value", "trimmed", "text_len", "n")
+
+
+@query("mask_profile", with_views("people") + """, m AS (SELECT 'pii_' || left(sha256('pepper' || last_name), 16) AS last_name,
+        'pii_' || left(sha256('pepper' || mobile_phone), 16) AS mobile_phone FROM people)
+    SELECT 'last_name' AS column_name, count(DISTINCT last_name) AS distinct_count, min(last_name) AS min_val, max(last_name) AS max_val FROM m
+    UNION ALL SELECT 'mobile_phone', count(DISTINCT mobile_phone), min(mobile_phone), max(mobile_phone) FROM m""")
+def mask_profile(spark, sf):
+    """The profile of masked columns knows tokens only."""
+    kinds = {"people": {"last_name": "other", "mobile_phone": "other"}}
+    counted = V.masked_counts({"people": view(spark, sf, "people").select("last_name", "mobile_phone")}, kinds, SALT)
+    return profile(counted.tables, counted=counted).select("column_name", "distinct_count", "min_val", "max_val")
 
 
 @query("pii_columns", with_views("people") + union_sql([

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.core import query, union_sql, view, with_views
+from registry.core import query, table, union_sql, view, with_views
 from stratalens.operators import compare as C
 from stratalens.operators import duplicates as D
 from stratalens.operators.profile import profile
@@ -20,7 +20,7 @@ _NORM = """, n AS (SELECT person_id AS rid, lower(trim(email_address)) AS n_emai
 _BLOCKS = """, b AS (SELECT rid, 0 AS b, n_email AS k FROM n UNION ALL SELECT rid, 1, n_phone FROM n UNION ALL SELECT rid, 2, n_first_name || '|' || n_last_name FROM n
         UNION ALL SELECT rid, 3, n_dob || '|' || left(n_last_name, 3) FROM n),
     sized AS (SELECT *, count(*) OVER (PARTITION BY b, k) AS size FROM b WHERE k IS NOT NULL),
-    pairs AS (SELECT DISTINCT x.rid AS ra, y.rid AS rb FROM sized x JOIN sized y ON x.b = y.b AND x.k = y.k AND x.rid < y.rid WHERE x.size <= 50)"""
+    pairs AS (SELECT DISTINCT x.rid AS ra, y.rid AS rb FROM sized x JOIN sized y ON x.b = y.b AND x.k = y.k AND x.rid < y.rid)"""
 
 
 def _both(expr: str, role: str) -> str:
@@ -82,6 +82,18 @@ def find_duplicates(spark, sf):
     return D.find_duplicates(view(spark, sf, "people_dup"), "person_id", ROLES)["summary"]
 
 
+@query("find_duplicates_large", """
+    SELECT count(*) AS rows, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs, count(*) FILTER (WHERE n > 1) AS groups,
+           CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS rows_in_groups, max(n) AS largest_group, (SELECT count(*) FROM lineitem) AS lines
+    FROM (SELECT l_partkey, l_suppkey % 3 AS s, count(*) AS n FROM lineitem GROUP BY 1, 2)""".replace("count(*) AS rows,", "CAST(sum(n) AS BIGINT) AS rows,"))
+def find_duplicates_large(spark, sf):
+    """Blocks of hundreds of rows: all lines of a supplier share a phone; those of one part and supplier are the same record."""
+    lines = table(spark, sf, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS _line", "l_partkey", "l_suppkey % 3 AS s")
+    people = lines.selectExpr("l_partkey", "s", "concat('part', l_partkey, '@s', s, '.org') AS mail", "concat('+1 555 000 000', s) AS phone")
+    found = D.find_duplicates(people, None, {"email": "mail", "phone": "phone"})["summary"]
+    return found.withColumn("lines", F.lit(lines.count()))
+
+
 @query("duplicate_examples")
 def duplicate_examples(spark, sf):
     """The most similar pairs side by side."""
@@ -138,6 +150,22 @@ def pair_attributes(spark, sf):
     return spark.createDataFrame([(a, b) for a, b, _, _ in pairs], "left_column string, right_column string")
 
 
+def _wide(side: str, n: int = 60) -> list[str]:
+    mark = {"l": "x", "r": "X"}[side]
+    return [f"CASE WHEN person_id % {i + 2} = 0 THEN NULL ELSE '{mark}{i}' || CAST(person_id % {5 * (i + 1)} AS STRING) END AS {side}{i}" for i in range(n)]
+
+
+@query("attribute_agreement_wide", with_views("people").rstrip() + f""", l AS (SELECT person_id, {', '.join(_wide('l'))} FROM people), r AS (SELECT person_id, {', '.join(_wide('r'))} FROM people)
+    """ + union_sql([f"""SELECT 'l{i}' AS left_column, 'r{i}' AS right_column, count(*) FILTER (WHERE l{i} IS NOT NULL AND r{i} IS NOT NULL) AS both_filled,
+        count(*) FILTER (WHERE lower(l{i}) = lower(r{i})) AS agree FROM l JOIN r USING (person_id)""" for i in range(60)]))
+def attribute_agreement_wide(spark, sf):
+    """Sixty columns a side: each agrees with its partner on all rows that fill it."""
+    people = view(spark, sf, "people")
+    left, right = (people.selectExpr("person_id", *_wide(side)) for side in "lr")
+    found = C.attribute_agreement(left, "person_id", right, "person_id")
+    return found.where("substring(left_column, 2) = substring(right_column, 2)")
+
+
 @query("compare_attributes", with_views("crm_people", "pms_people") + union_sql([_pair_sql(a, b) for a, b in _PAIRS]))
 def compare_attributes(spark, sf):
     return C.compare_attributes(*_sides(spark, sf), _PAIRS, *_DATES)

@@ -39,6 +39,7 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċč
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
 
 SHOWN_CHARS = 200     # longer texts are shown cut
+SHAPE_CHARS = 40      # of a value's shape
 LONG_TEXT = 256       # longer texts are counted by a key of bounded size
 
 
@@ -93,8 +94,8 @@ def shown(value: Column) -> Column:
 
 
 def shape(value: Column) -> Column:
-    """Character shape of the first 40 characters: A for upper, a for lower, 9 for digits."""
-    out = F.left(value, F.lit(40))
+    """The shape of a value is that of its start: A for upper, a for lower, 9 for digits. By definition it has this many characters."""
+    out = F.left(value, F.lit(SHAPE_CHARS))
     for letters, mark in (("[A-Z]", "A"), ("[a-z]", "a"), ("[0-9]", "9")):
         out = F.regexp_replace(out, letters, mark)
     return out

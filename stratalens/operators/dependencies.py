@@ -11,9 +11,8 @@ from stratalens.operators.graph import connected_components
 from stratalens.operators.value_freq import union_all
 from stratalens.types import KEYISH_NAME, col, keyish
 
-# Share of rows that must agree, most determinants and dependents, share of one value above which a
-# column says nothing, longest list of hierarchies.
-MIN_STRENGTH, MAX_DETERMINANTS, MAX_DEPENDENTS, TOP_SHARE, MAX_PATHS = 0.98, 30, 40, 0.95, 20
+# Share of rows that must agree, share of one value above which a column says nothing.
+MIN_STRENGTH, TOP_SHARE = 0.98, 0.95
 NAME_SUFFIX = r"(?i)(_?(id|key|code|no|num|nbr|number|cd|ref|name|nm|desc|description|label))$"
 SUBSET_FROM = 20_000_000      # rows from which pairs are first tried on one slice of the data
 SLICES = 16
@@ -36,13 +35,13 @@ def dependency_pairs(infos: list[dict]) -> list[tuple[dict, list[dict]]]:
                     and i["family"] not in ("temporal", "bool") and not is_measure(i)]
     determinants.sort(key=lambda i: (not keyish(i["column_name"]), -i["distinct_count"]))
     out = []
-    for x in determinants[:MAX_DETERMINANTS]:
+    for x in determinants:
         most = max(2 * x["distinct_count"], x["distinct_count"] + 20)
         dependents = [y for y in usable if y is not x and 1 < y["distinct_count"] <= most and not is_measure(y)
                       and _top_share(y) < TOP_SHARE]
         dependents.sort(key=lambda y: (not keyish(y["column_name"]), y["distinct_count"]))
         if dependents:
-            out.append((x, dependents[:MAX_DEPENDENTS]))
+            out.append((x, dependents))
     return out
 
 
@@ -198,7 +197,7 @@ def candidate_entities(classes: DataFrame, reduced: DataFrame, infos: DataFrame,
         "class_id", "name", "suggested", "columns", "determines", "distinct_count")
 
 
-def hierarchies(reduced: DataFrame, keep: int = MAX_PATHS) -> DataFrame:
+def hierarchies(reduced: DataFrame) -> DataFrame:
     """Longest chains of at least three classes, e.g. nation -> region: (levels array).
 
     A recursive query over the class links of one table (a handful of rows)."""
@@ -217,7 +216,7 @@ def hierarchies(reduced: DataFrame, keep: int = MAX_PATHS) -> DataFrame:
     onward = found.join(links, F.col("last") == F.col("from_class")).where(
         ~F.array_contains("levels", F.col("to_class"))).select("levels").distinct()
     ends = found.where(F.size("levels") >= 3).join(onward, "levels", "left_anti").select("levels").distinct()
-    return ends.orderBy("levels").limit(keep)
+    return ends.orderBy("levels")
 
 
 def dirty_dependencies(edges: DataFrame, classes: DataFrame) -> DataFrame:

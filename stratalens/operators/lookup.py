@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalens.functions.values import is_real
+from stratalens.functions.values import LONG_TEXT, is_real, text_of
 from stratalens.operators.privacy import mask_text
+from stratalens.operators.profile import Counted
 from stratalens.operators.value_freq import Tables, top_per_group, union_all
 from stratalens.types import col, family, keyish, split_name
 
@@ -138,12 +139,25 @@ def value_search(tables: Tables, value: str, exact: bool = False, examples: int
         F.count(F.lit(1)).alias("n")), examples)
 
 
-def value_search_counted(freq: DataFrame, columns: DataFrame, value: str, exact: bool = False, examples: int = 3) -> DataFrame:
-    """value_search over stored value counts, without reading the tables; compares text forms."""
+def value_search_counted(counted: Counted, value: str, exact: bool = False, examples: int = 3) -> DataFrame:
+    """value_search over stored value counts; compares text forms. Counts keep only the start of a long text, so columns that have
+    some are read for these rows again, and no other table is."""
     text = value.strip().lower()
     test = F.lower("value") == text if exact else F.contains(F.lower("value"), F.lit(text))
-    named = freq.where(test).join(columns.select("col_id", "schema_name", "table_name", "column_name"), "col_id")
-    return _hits(named.select("schema_name", "table_name", "column_name", "value", "n"), examples)
+    long = F.coalesce(F.col("text_len") > LONG_TEXT, F.lit(False))
+    names = counted.columns.select("col_id", "schema_name", "table_name", "column_name")
+    keys = ["schema_name", "table_name", "column_name"]
+    found = [counted.freq.where(~long & test).join(F.broadcast(names), "col_id").select(*keys, "value", "n")]
+    # at most a row for each column of the catalog
+    affected = {r["col_id"] for r in counted.freq.where(long).select("col_id").distinct().collect()}
+    for name, df in counted.tables.items():
+        schema, table = split_name(name)
+        for m in counted.metas:
+            if m.col_id in affected and (m.schema_name, m.table_name) == (schema, table):
+                whole = df.select(F.expr(text_of(m.column_name, df.schema[m.column_name].dataType)).alias("value")).where(F.length("value") > LONG_TEXT)
+                found.append(whole.where(test).groupBy("value").agg(F.count(F.lit(1)).alias("n")).select(
+                    F.lit(schema).alias("schema_name"), F.lit(table).alias("table_name"), F.lit(m.column_name).alias("column_name"), "value", "n"))
+    return _hits(union_all(found), examples)
 
 
 def _hits(matches: DataFrame, examples: int) -> DataFrame:

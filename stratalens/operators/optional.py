@@ -16,7 +16,6 @@ from stratalens.types import col
 # code, share filled for a code to belong to the rule, precision, coverage, largest share of rows, fewest filled rows.
 EMPTY_LOW, EMPTY_HIGH, GROUP_OVERLAP, MAX_CODES = 2, 98, 0.95, 20
 CODE_FILLED, PRECISION, COVERAGE, MAX_ROWS_SHARE, MIN_FILLED = 0.5, 0.98, 0.3, 0.9, 20
-MAX_OPTIONAL, MAX_EXPLAINERS = 40, 15
 
 
 def filled_flags(df: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -29,13 +28,13 @@ def optional_columns(infos: list[dict]) -> list[str]:
     found = [i for i in infos if i["effective_null_pct"] is not None
              and EMPTY_LOW <= i["effective_null_pct"] <= EMPTY_HIGH
              and not {"all_null", "constant"} & set(i["flags"]) and i["family"] != "other"]
-    return [i["column_name"] for i in found][:MAX_OPTIONAL]
+    return [i["column_name"] for i in found]
 
 
 def explaining_columns(infos: list[dict]) -> list[str]:
     found = [i for i in infos if is_code_list(i) and i["distinct_count"] <= MAX_CODES]
     found.sort(key=lambda i: i["distinct_count"])
-    return [i["column_name"] for i in found][:MAX_EXPLAINERS]
+    return [i["column_name"] for i in found]
 
 
 def fill_pairs(df: DataFrame, names: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalens.operators.profile import Counted, count_values
+from stratalens.operators.value_freq import Tables
 from stratalens.types import col
 
 # Mark and length of a masked value.
@@ -86,11 +88,13 @@ def mask_pii(df: DataFrame, kinds: dict[str, str], salt: str) -> DataFrame:
     return df.withColumns({c: mask_value(col(c), salt, kind == "email") for c, kind in kinds.items()})
 
 
-def mask_value_counts(freq: DataFrame, kinds: DataFrame, salt: str) -> DataFrame:
-    """Stored value counts with the values of personal columns masked; kinds: (col_id, kind)."""
-    tagged = freq.join(kinds.select("col_id", "kind"), "col_id", "left")
-    masked = F.when(F.col("kind").isNotNull(), mask_value(F.col("value"), salt, F.col("kind") == "email"))
-    return tagged.withColumn("value", masked.otherwise(F.col("value"))).drop("kind")
+def masked_counts(tables: Tables, kinds: dict[str, dict[str, str]], salt: str) -> Counted:
+    """Value counts with personal columns masked; kinds: column -> kind, per table.
+
+    Values are masked before they are counted. Whatever a count or a profile made of it says of a value (its text, trimmed form, number,
+    length, extremes, frequent values, placeholders) is then said of the token, and the token of a long text is that of the whole text, as
+    in mask_pii, so counts and tables still join."""
+    return count_values({name: mask_pii(df, kinds.get(name, {}), salt) for name, df in tables.items()})
 
 
 def mask_display(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -79,7 +79,7 @@ def test_duplicates_against_all_pairs(spark):
     df = spark.createDataFrame(people, "id int, first_name string, last_name string, email string, dob string")
     roles = {"first_name": "first_name", "last_name": "last_name", "email": "email", "dob": "dob"}
     records = duplicates.normalised(df, "id", roles)
-    got = {(r["ra"], r["rb"]) for r in duplicates.blocking_pairs(records, roles, 10).collect()}
+    got = {(r["ra"], r["rb"]) for r in duplicates.blocking_pairs(records, roles).collect()}
     rows = [r.asDict() for r in records.collect()]
     keys = [lambda r: r["n_email"], lambda r: f"{r['n_first_name']}|{r['n_last_name']}", lambda r: f"{r['n_dob']}|{r['n_last_name'][:3]}"]
     expected = set()
@@ -89,9 +89,23 @@ def test_duplicates_against_all_pairs(spark):
             if key(r):
                 blocks.setdefault(key(r), []).append(r["rid"])
         for ids in blocks.values():
-            if len(ids) <= 10:
-                expected |= {(a, b) for a, b in itertools.combinations(sorted(ids), 2)}
+            expected |= {(a, b) for a, b in itertools.combinations(sorted(ids), 2)}
     assert got == expected
+    # a threshold takes out pairs that can't reach it, and no others
+    scored = {(r["ra"], r["rb"]) for r in duplicates.score_pairs(duplicates.blocking_pairs(records, roles), records, roles, 0.9).collect()}
+    pruned = duplicates.blocking_pairs(records, roles, 0.9)
+    assert {(r["ra"], r["rb"]) for r in duplicates.score_pairs(pruned, records, roles, 0.9).collect()} == scored and pruned.count() < len(got)
+
+
+def test_duplicates_in_large_blocks(spark):
+    same = [(i, "ann lee", "a@x.org") for i in range(700)]
+    near = [(1000 + i, f"ann lee{'e' * (i % 3)}", "b@x.org") for i in range(600)]
+    df = spark.createDataFrame(same + near, "id int, full_name string, email string")
+    found = duplicates.find_duplicates(df, "id", {"name": "full_name", "email": "email"})
+    summary = found["summary"].first()
+    assert (summary["groups"], summary["rows_in_groups"], summary["largest_group"]) == (2, 1300, 700)
+    assert summary["pairs"] == 700 * 699 // 2 + 600 * 599 // 2
+    assert found["members"].where("rid <> rep").count() == 1300 - 4 and found["pairs"].count() == 3
 
 
 def test_name_folding(spark):
