@@ -11,8 +11,8 @@ n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1, their prefixes; and where the first
    bucket of many copies gives as many pairs as it has groups, not their square.
 4. Members: pairs of groups are expanded to their nodes, and the nodes of a group are held against its first; the sets of these pairs are
    compared exactly.
-5. Rest: in buckets that still hold several components, all pairs across components that pass the same filters are compared as well, in
-   salted blocks. A pair left out is thus already joined by verified links, so no link between components is lost.
+5. Rest: where, beside its first, a bucket still holds several components, all pairs across components that pass the same filters are
+   compared as well, in salted blocks. A pair left out is thus already joined by verified links, so no link between components is lost.
 
 Defined results: a document without words, or with a null text, has an empty set and links with nothing. Rows of equal ids are one document
 of several texts. A row with a null id links with nothing and has a null component. Only doc_id and text are read.
@@ -37,7 +37,7 @@ from stratalens.staging import stage
 #: Words in a shingle; the least similarity in percent.
 WORDS, PERCENT = 5, 80
 #: Cells of the sketch, as a power of two, and cells in one row of its sums.
-SKETCH_BITS, SKETCH_ROW = 22, 1 << 12
+SKETCH_BITS, SKETCH_ROW = 23, 1 << 14
 #: Bytes of text handled at once, and rows of a bucket that meet in one block of the last step.
 CHUNK, BLOCK = 2_000_000, 500
 
@@ -130,19 +130,26 @@ def sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << bits, np.uint32)
         for _, sets in in_chunks(batches):
-            total += np.bincount(cell(np.concatenate(sets), bits), minlength=1 << bits).astype(np.uint32)
+            np.add.at(total, cell(np.concatenate(sets), bits), np.uint32(1))
         for at in range(0, len(total), SKETCH_ROW):
-            if total[at:at + SKETCH_ROW].any():
-                yield pd.DataFrame({"at": [at], "cells": [zlib.compress(total[at:at + SKETCH_ROW].tobytes(), 1)]})
+            part = total[at:at + SKETCH_ROW]
+            if part.any():
+                # a byte is enough for most parts
+                small = part.astype(np.uint8 if part.max() < 256 else np.uint32)
+                yield pd.DataFrame({"at": [at], "cells": [zlib.compress(small.tobytes(), 1)]})
+
+    def unpacked(cells: bytes) -> np.ndarray:
+        data = zlib.decompress(cells)
+        return np.frombuffer(data, {1: np.uint8, 4: np.uint32, 8: np.uint64}[len(data) // SKETCH_ROW]).astype(np.uint64)
 
     def summed(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in rows["cells"])
+        total = sum(unpacked(x) for x in rows["cells"])
         return pd.DataFrame({"at": [key[0]], "cells": [zlib.compress(total.tobytes(), 1)]})
 
     rows = docs.select(raw_text()).mapInPandas(counted, "at long, cells binary").groupBy("at").applyInPandas(summed, "at long, cells binary").collect()
     cells = np.zeros(1 << bits, np.uint64)
     for r in rows:
-        cells[r["at"]:r["at"] + SKETCH_ROW] = np.frombuffer(zlib.decompress(r["cells"]), np.uint64)
+        cells[r["at"]:r["at"] + SKETCH_ROW] = unpacked(r["cells"])
     return np.log2(1 + cells / max(cells.mean(), 1)).astype(np.uint8)
 
 
@@ -186,8 +193,8 @@ def may_link(n: Column, at: Column, m: Column, other: Column, percent: int = PER
 
 def first_pairs(buckets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different groups, the first of a bucket with each other one that it may link with."""
-    found = buckets.filter((F.col("group_id") != F.col("first.group_id")) & may_link(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at"), percent))
-    return found.select(F.least("group_id", "first.group_id").alias("a"), F.greatest("group_id", "first.group_id").alias("b")).distinct()
+    found = buckets.filter((F.col("head") != F.col("first.head")) & may_link(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at"), percent))
+    return found.select(F.col("first.head").alias("a"), F.col("head").alias("b")).distinct()
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -226,8 +233,11 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int)
 
 def across(buckets: DataFrame, percent: int) -> DataFrame:
     """All pairs of nodes of different components in one bucket that may link. Large buckets are dealt out in blocks."""
-    extent = buckets.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = buckets.join(extent.filter("low < high").select("token", "size"), "token")
+    whole, by_size = Window.partitionBy("token"), Window.partitionBy("token").orderBy("n", "node")
+    extent = {"size": F.count("*").over(whole), "low": F.min("component").over(whole), "high": F.max("component").over(whole),
+              "before": F.lag("n").over(by_size), "after": F.lead("n").over(by_size)}
+    near = (100 * F.col("before") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("after"))
+    open_ = buckets.withColumns(extent).filter((F.col("low") < F.col("high")) & near)
     blocks = F.ceil(F.col("size") / BLOCK)
     columns = ("token", "node", "component", "n", "at")
     left = open_.select(*[F.col(c).alias(f"a_{c}") for c in columns], F.pmod(F.xxhash64("node"), blocks).alias("a_block"))
@@ -241,25 +251,26 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) for each row of docs."""
     signed = stage(signatures(docs, sketch(docs), percent), "signatures")
     full = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    # equal sets are one node, named by the smallest id
-    nodes = stage(full.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("group_id").alias("group_id")), "nodes")
-    groups = full.groupBy("group_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = groups.select("group_id", "n", F.posexplode("prefix").alias("at", "token"))
-    bucket = Window.partitionBy("token").orderBy("at", "n", "group_id")
-    buckets = stage(postings.withColumns({"first": F.first(F.struct("group_id", "n", "at")).over(bucket), "next": F.lead("at").over(bucket), "nth": F.row_number().over(bucket)})
-                    .filter((F.col("nth") > 1) | F.col("next").isNotNull()).drop("next", "nth"), "buckets")
-    heads = nodes.groupBy("group_id").agg(F.min("node").alias("head"), F.count("*").alias("size"))
-    members = nodes.join(heads, "group_id").select("group_id", "node", "head", "size")
-    inside = members.filter("node > head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    outside = (first_pairs(buckets, percent).join(heads.select(F.col("group_id").alias("a"), "head"), "a")
-               .join(members.select(F.col("group_id").alias("b"), "node"), "b").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")))
+    # a group is named by its smallest id, and so are the nodes: one for equal sets
+    groups = full.groupBy("group_id").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = full.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("group_id").alias("group_id"))
+    heads = nodes.groupBy("group_id").agg(F.min("node").alias("head"), F.count("*").alias("members"))
+    nodes = stage(nodes.join(heads, "group_id").select("set_id", "node", "n", "head", "members"), "nodes")
+    postings = groups.select("head", "n", F.posexplode("prefix").alias("at", "token"))
+    bucket = Window.partitionBy("token").orderBy("at", "n", "head")
+    seen = {"first": F.first(F.struct("head", "n", "at")).over(bucket), "nth": F.row_number().over(bucket), "next": F.lead("at").over(bucket)}
+    buckets = stage(postings.withColumns(seen).filter((F.col("nth") > 1) | F.col("next").isNotNull()).drop("nth", "next"), "buckets")
+    inside = nodes.filter("node > head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    outside = first_pairs(buckets, percent).join(nodes.select(F.col("head").alias("b"), "node"), "b").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     links = verified(docs, nodes, inside.unionByName(outside).filter("a < b").distinct(), percent)
     component = stage(connected_components(links, "a", "b"), "components")
-    placed = nodes.join(component, "node", "left").select("group_id", "node", "n", F.coalesce("component", "node").alias("component"))
+    placed = stage(nodes.join(component, "node", "left").select("head", "members", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
+    # the first of a bucket has met all others, so its rest is where three groups meet, or two of which one has members that have not
+    wide = buckets.select("head", "token", "at", F.col("first.head").alias("first"))
+    more_rows = (wide.join(placed, "head").filter((F.col("head") != F.col("first")) | (F.col("node") != F.col("head"))).select("token", "at", "n", "node", "component"))
     # the nodes of a group share its first element, in the same place
-    same = heads.filter("size > 1").join(placed, "group_id").select(F.xxhash64("group_id").alias("token"), F.lit(0).alias("at"), "n", "node", "component")
-    rest = across(stage(buckets.select("token", "at", "group_id").join(placed, "group_id").select("token", "at", "n", "node", "component").unionByName(same), "rest"), percent)
-    more = verified(docs, nodes, rest, percent)
+    same = placed.filter("members > 2 AND node <> head").select(F.xxhash64(F.lit("group"), "head").alias("token"), F.lit(0).alias("at"), "n", "node", "component")
+    more = verified(docs, nodes, across(more_rows.unionByName(same), percent), percent)
     if not more.isEmpty():
         component = stage(connected_components(links.unionByName(more), "a", "b"), "components")
     named = nodes.join(component, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
