@@ -37,7 +37,7 @@ from stratalens.staging import stage
 #: Words in a shingle; the least similarity in percent.
 WORDS, PERCENT = 5, 80
 #: Cells of the sketch, as a power of two, and cells in one row of its sums.
-SKETCH_BITS, SKETCH_ROW = 23, 1 << 14
+SKETCH_BITS, SKETCH_ROW = 24, 1 << 14
 #: Bytes of text handled at once, and rows of a bucket that meet in one block of the last step.
 CHUNK, BLOCK = 2_000_000, 500
 
@@ -206,7 +206,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     wanted = docs.select("doc_id", raw_text()).join(fitting(nodes.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi")
     found = wanted.mapInPandas(made, "node long, set_id binary, elements binary")
-    return found.join(nodes, ["node", "set_id"], "left_semi").dropDuplicates(["node", "set_id"]).select("node", "elements")
+    return found.join(fitting(nodes), ["node", "set_id"], "left_semi")
 
 
 def similar(percent: int):
@@ -227,6 +227,9 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int)
     pairs = stage(pairs, "pairs")
     ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "set_id"), "node"), "ends")
     sets = stage(sets_of(docs, ends), "sets")
+    if sets.count() > ends.count():
+        # rows that are repeated as a whole
+        sets = stage(sets.dropDuplicates(["node", "set_id"]), "sets")
     left, right = (sets.select(F.col("node").alias(x), F.col("elements").alias(f"set_{x}")) for x in "ab")
     return stage(pairs.join(left, "a").join(right, "b").filter(similar(percent)("set_a", "set_b")).select("a", "b"), "links")
 
@@ -252,21 +255,25 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = stage(signatures(docs, sketch(docs), percent), "signatures")
     full = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     # a group is named by its smallest id, and so are the nodes: one for equal sets
-    groups = full.groupBy("group_id").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    groups = full.groupBy("group_id").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), (F.min("set_id") != F.max("set_id")).alias("many"),
+                                          F.first("prefix").alias("prefix"))
     nodes = full.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("group_id").alias("group_id"))
     heads = nodes.groupBy("group_id").agg(F.min("node").alias("head"), F.count("*").alias("members"))
     nodes = stage(nodes.join(heads, "group_id").select("set_id", "node", "n", "head", "members"), "nodes")
-    postings = groups.select("head", "n", F.posexplode("prefix").alias("at", "token"))
+    postings = groups.select("head", "n", "many", F.posexplode("prefix").alias("at", "token"))
     bucket = Window.partitionBy("token").orderBy("at", "n", "head")
-    seen = {"first": F.first(F.struct("head", "n", "at")).over(bucket), "nth": F.row_number().over(bucket), "next": F.lead("at").over(bucket)}
-    buckets = stage(postings.withColumns(seen).filter((F.col("nth") > 1) | F.col("next").isNotNull()).drop("nth", "next"), "buckets")
+    seen = {"first": F.first(F.struct("head", "n", "at", "many")).over(bucket), "nth": F.row_number().over(bucket),
+            "next": F.lead("at").over(bucket), "third": F.lead("at", 2).over(bucket)}
+    two = F.when(F.col("nth") == 1, F.col("third").isNull()).otherwise((F.col("nth") == 2) & F.col("next").isNull())
+    buckets = stage(postings.withColumns(seen).filter((F.col("nth") > 1) | F.col("next").isNotNull()).withColumn("two", two)
+                    .drop("nth", "next", "third", "many"), "buckets")
     inside = nodes.filter("node > head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     outside = first_pairs(buckets, percent).join(nodes.select(F.col("head").alias("b"), "node"), "b").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     links = verified(docs, nodes, inside.unionByName(outside).filter("a < b").distinct(), percent)
     component = stage(connected_components(links, "a", "b"), "components")
     placed = stage(nodes.join(component, "node", "left").select("head", "members", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
     # the first of a bucket has met all others, so its rest is where three groups meet, or two of which one has members that have not
-    wide = buckets.select("head", "token", "at", F.col("first.head").alias("first"))
+    wide = buckets.filter("NOT two OR first.many").select("head", "token", "at", F.col("first.head").alias("first"))
     more_rows = (wide.join(placed, "head").filter((F.col("head") != F.col("first")) | (F.col("node") != F.col("head"))).select("token", "at", "n", "node", "component"))
     # the nodes of a group share its first element, in the same place
     same = placed.filter("members > 2 AND node <> head").select(F.xxhash64(F.lit("group"), "head").alias("token"), F.lit(0).alias("at"), "n", "node", "component")
