@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratalens.llm import decontaminate, langid, ngram_join, pieces, secrets
-from stratalens.llm.common import bucket
+from stratalens.llm.common import bucket, fitting
 from stratalens.llm.queries import public_model
 from stratalens.staging import shared_folder, stage
 
@@ -30,9 +30,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar texts, directly or through others, the one with the smallest id stays, once."""
     found = stage(ngram_join.classes(docs.select("doc_id", "text")), "classes")
-    dropped = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    dropped = fitting(stage(found.filter("doc_id <> component_id").select("doc_id").distinct(), "dropped"))
     # ids that stand on several rows are rare; only these are ranked
-    repeated = found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    repeated = fitting(stage(found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated"))
     kept = docs.join(dropped, "doc_id", "left_anti")
     again = kept.join(repeated, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")))
     return kept.join(repeated, "doc_id", "left_anti").unionByName(again.filter("_nth = 1").drop("_nth")).select(docs.columns)
