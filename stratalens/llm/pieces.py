@@ -18,6 +18,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,7 +185,7 @@ def encoder(model: bytes, with_ids: bool = False):
                 for text in texts[part]:
                     ids, n, decoded = built[0].encode(text)
                     row = n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
-                    rows.append((*row, list(map(int, ids.split(" ")))) if with_ids else row)
+                    rows.append((*row, np.fromiter(map(int, ids.split(" ")), np.int32, n)) if with_ids else row)
             yield pd.DataFrame(rows, columns=[f.name for f in (WITH_IDS if with_ids else DIGESTS)])
 
     return encode
