@@ -8,14 +8,11 @@ from pyspark.sql import functions as F
 
 from stratalens.operators.grain import is_measure, is_prose
 from stratalens.operators.graph import connected_components
-from stratalens.operators.value_freq import union_all
 from stratalens.types import KEYISH_NAME, col, keyish
 
 # Share of rows that must agree, share of one value above which a column says nothing.
 MIN_STRENGTH, TOP_SHARE = 0.98, 0.95
 NAME_SUFFIX = r"(?i)(_?(id|key|code|no|num|nbr|number|cd|ref|name|nm|desc|description|label))$"
-SUBSET_FROM = 20_000_000      # rows from which pairs are first tried on one slice of the data
-SLICES = 16
 
 EDGE_SCHEMA = ("determinant string, dependent string, strength double, exceptions bigint, rows_checked bigint, "
                "determinant_distinct bigint, kind string")
@@ -48,41 +45,26 @@ def dependency_pairs(infos: list[dict]) -> list[tuple[dict, list[dict]]]:
 def pair_agreement(df: DataFrame, pairs: list[tuple[str, list[str]]], slices: int = 1) -> DataFrame:
     """(determinant, dependent, agreeing, checked): rows that have the most common Y of their X, and rows with an X.
 
-    All pairs in one job: counts per (pair, X, Y), then the largest count per (pair, X). Both steps combine before
+    All pairs in one scan: counts per (pair, X, Y), then the largest count per (pair, X). Both steps combine before
     their shuffle, so a value on a third of the rows is one row per task. slices > 1 looks at one slice of X values."""
-    long = []
-    for x, ys in pairs:
-        rows = df.where(col(x).isNotNull())
-        if slices > 1:
-            rows = rows.where(F.pmod(F.xxhash64(col(x)), F.lit(slices)) == 0)
-        texts = rows.select(col(x).cast("string").alias("_x"), *[col(y).cast("string").alias(y) for y in ys])
-        long.append(texts.unpivot(["_x"], [col(y) for y in ys], "dependent", "_y").withColumn("determinant", F.lit(x)))
-    per_value = union_all(long).groupBy("determinant", "dependent", "_x", "_y").agg(F.count(F.lit(1)).alias("n"))
-    per_x = per_value.groupBy("determinant", "dependent", "_x").agg(F.max("n").alias("top"), F.sum("n").alias("all"))
-    return per_x.groupBy("determinant", "dependent").agg(F.sum("top").alias("agreeing"), F.sum("all").alias("checked"))
-
-
-def _surviving(df: DataFrame, pairs: list[tuple[dict, list[dict]]], min_strength: float) -> list:
-    """Pairs not ruled out by one slice: its exceptions are exceptions of the whole table too."""
-    named = [(x["column_name"], [y["column_name"] for y in ys]) for x, ys in pairs]
-    rows = {(r["determinant"], r["dependent"]): r["checked"] - r["agreeing"]
-            for r in pair_agreement(df, named, SLICES).collect()}       # one row per pair of columns
-    kept = []
-    for x, ys in pairs:
-        allowed = (1 - min_strength) * x["non_null"]
-        left = [y for y in ys if rows.get((x["column_name"], y["column_name"]), 0) <= allowed]
-        if left:
-            kept.append((x, left))
-    return kept
-
-
-def dependencies(df: DataFrame, infos: list[dict], min_strength: float = MIN_STRENGTH,
-                 subset_from: int = SUBSET_FROM) -> DataFrame:
+    xs, ys = [x for x, _ in pairs], list(dict.fromkeys(y for _, own in pairs for y in own))
+    wanted = F.array(*[F.array(*[F.lit(ys.index(y)) for y in own]) for _, own in pairs])
+    texts = df.select(F.array(*[col(x).cast("string") for x in xs]).alias("xs"), F.array(*[col(y).cast("string") for y in ys]).alias("ys"))
+    by_x = texts.select("ys", F.posexplode("xs").alias("i", "_x")).where("_x IS NOT NULL")
+    if slices > 1:
+        by_x = by_x.where(F.pmod(F.xxhash64("_x"), F.lit(slices)) == 0)
+    long = by_x.select("i", "_x", F.posexplode("ys").alias("j", "_y")).where(F.array_contains(F.element_at(wanted, F.col("i") + 1), F.col("j")))
+    named = lambda names, at: F.element_at(F.array(*[F.lit(n) for n in names]), F.col(at) + 1)
+    per_value = long.groupBy("i", "j", "_x", "_y").agg(F.count(F.lit(1)).alias("n"))
+    per_x = per_value.groupBy("i", "j", "_x").agg(F.max("n").alias("top"), F.sum("n").alias("all"))
+    return per_x.groupBy("i", "j").agg(F.sum("top").alias("agreeing"), F.sum("all").alias("checked")).select(
+        named(xs, "i").alias("determinant"), named(ys, "j").alias("dependent"), "agreeing", "checked")
+
+
+def dependencies(df: DataFrame, infos: list[dict], min_strength: float = MIN_STRENGTH) -> DataFrame:
     """One row per dependency that holds for at least min_strength of the rows."""
     spark = df.sparkSession
     pairs = dependency_pairs(infos)
-    if pairs and infos[0]["row_count"] >= subset_from:
-        pairs = _surviving(df, pairs, min_strength)
     if not pairs:
         return spark.createDataFrame([], EDGE_SCHEMA)
     counts = pair_agreement(df, [(x["column_name"], [y["column_name"] for y in ys]) for x, ys in pairs])
@@ -117,7 +99,7 @@ def entity_name(name: Column) -> Column:
     base = F.when(base == "", name).otherwise(base)
     spaced = F.trim(F.replace(F.regexp_replace(base, r"(?<=[a-z0-9])(?=[A-Z])", " "), F.lit("_"), F.lit(" ")))
     return F.when(spaced == "", name).otherwise(
-        F.concat(F.upper(F.left(spaced, F.lit(1))), F.lower(F.substring(spaced, 2, 1000))))
+        F.concat(F.upper(F.left(spaced, F.lit(1))), F.lower(F.substr(spaced, F.lit(2)))))
 
 
 def drop_dismissed(edges: DataFrame, dismissed: DataFrame | None) -> DataFrame:
@@ -191,7 +173,7 @@ def candidate_entities(classes: DataFrame, reduced: DataFrame, infos: DataFrame,
     size = F.size("determines") + F.size("columns")
     order = Window.partitionBy("name").orderBy(F.desc(size), F.desc("distinct_count"), "class_id")
     spelt = F.replace(F.regexp_replace(F.col("class_id"), r"(?<=[a-z0-9])(?=[A-Z])", " "), F.lit("_"), F.lit(" "))
-    spelt = F.concat(F.upper(F.left(spelt, F.lit(1))), F.lower(F.substring(spelt, 2, 1000)))
+    spelt = F.concat(F.upper(F.left(spelt, F.lit(1))), F.lower(F.substr(spelt, F.lit(2))))
     repeated = (F.row_number().over(order) > 1) & F.col("suggested")
     return named.withColumn("name", F.when(repeated, spelt).otherwise(F.col("name"))).select(
         "class_id", "name", "suggested", "columns", "determines", "distinct_count")

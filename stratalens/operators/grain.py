@@ -13,8 +13,8 @@ from stratalens.types import GRAIN_NAME, col, dateish, is_measure_type, keyish
 # Candidate columns tried, combinations reported, share of distinct rows that counts as nearly unique,
 # average length above which a text column is prose.
 MAX_CANDIDATES, MAX_COMBOS, NEARLY, LONG_TEXT = 8, 3, 0.999, 60
-SUBSET_FROM = 20_000_000      # rows from which combinations are first tried on one slice of the data
 SLICES = 16
+SKETCH_BITS, SKETCH_MARGIN = 14, 0.05      # of distinct-count sketches, and six of their standard errors
 
 
 def column_infos(profiled: DataFrame, schema: str, table: str) -> list[dict]:
@@ -67,6 +67,13 @@ def count_combos(df: DataFrame, combos: list[list[str]]) -> list[int]:
     return list(counts.first())
 
 
+def likely_combos(df: DataFrame, combos: list[list[str]], rows: int) -> list[list[str]]:
+    """The combinations that can be nearly unique, by one sketch of each, all in one aggregate that a row passes once."""
+    sketches = [F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[x for c in combo for x in (col(c), col(c).isNull())]), F.lit(SKETCH_BITS))).alias(str(i))
+                for i, combo in enumerate(combos)]
+    return [c for c, n in zip(combos, df.agg(*sketches).first()) if n >= (NEARLY - SKETCH_MARGIN) * rows]
+
+
 def duplicates_in_slice(df: DataFrame, combos: list[list[str]], slices: int = SLICES) -> list[int]:
     """Duplicate rows of each combination within one slice of its first column's values.
 
@@ -81,7 +88,7 @@ def duplicates_in_slice(df: DataFrame, combos: list[list[str]], slices: int = SL
     return [row[f"rows{i}"] - row[f"distinct{i}"] for i in range(len(combos))]
 
 
-def find_grain(df: DataFrame, infos: list[dict], subset_from: int = SUBSET_FROM) -> list[dict]:
+def find_grain(df: DataFrame, infos: list[dict]) -> list[dict]:
     """[{combo, distinct_rows, dup_rows, near}]: single keys from the profile, else pairs, else triples; if nothing is
     unique, the best combination when at most one row in a thousand is a duplicate."""
     rows = infos[0]["row_count"] if infos else 0
@@ -92,9 +99,7 @@ def find_grain(df: DataFrame, infos: list[dict], subset_from: int = SUBSET_FROM)
     best = None
     for size in (2, 3):
         combos = combos_to_test(candidates, size, rows)
-        if combos and rows >= subset_from:
-            seen = duplicates_in_slice(df, combos)
-            combos = [c for c, dups in zip(combos, seen) if dups <= (1 - NEARLY) * rows]
+        combos = likely_combos(df, combos, rows) if combos else []
         if not combos:
             continue
         tested = [
@@ -114,9 +119,9 @@ GRAIN_SCHEMA = ("schema_name string, table_name string, rank int, combo array<st
                 "dup_rows bigint, near boolean")
 
 
-def grain(df: DataFrame, profiled: DataFrame, schema: str, table: str, subset_from: int = SUBSET_FROM) -> DataFrame:
+def grain(df: DataFrame, profiled: DataFrame, schema: str, table: str) -> DataFrame:
     """The grain of one table as rows, best combination first."""
-    found = find_grain(df, column_infos(profiled, schema, table), subset_from)
+    found = find_grain(df, column_infos(profiled, schema, table))
     rows = [(schema, table, i, g["combo"], g["distinct_rows"], g["dup_rows"], g["near"])
             for i, g in enumerate(found, start=1)]
     return df.sparkSession.createDataFrame(rows, GRAIN_SCHEMA)

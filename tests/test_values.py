@@ -11,7 +11,7 @@ from stratalens.functions import values as V
 from stratalens.operators import profile as P
 from stratalens.operators.privacy import mask_text, mask_value, pii_reason
 from stratalens.operators.quantiles import quantiles
-from stratalens.operators.relate import name_score
+from stratalens.operators.relate import with_name_scores
 
 
 def test_type_hint_kinds(spark):
@@ -85,11 +85,12 @@ def test_similarity():
         assert abs(S.ratio(a, b) - 200 * lcs(a, b) / (len(a) + len(b))) < 1e-9
 
 
-def test_name_scores():
-    assert name_score("guest_id", "guest", "id") == 1.0 and name_score("doc_id", "documents", "doc_id") == 1.0
-    assert name_score("n_regionkey", "region", "r_regionkey") == 0.9 or name_score("n_regionkey", "region", "r_regionkey") >= 0.9
-    assert name_score("o_custkey", "customer", "c_custkey") == 0.875 and name_score("l_orderkey", "orders", "o_orderkey") == 0.889
-    assert name_score("status", "order", "status") == 0.8
+def test_name_scores(spark):
+    expected = {("guest_id", "guest", "id"): 1.0, ("doc_id", "documents", "doc_id"): 1.0, ("n_regionkey", "region", "r_regionkey"): 0.9,
+                ("o_custkey", "customer", "c_custkey"): 0.875, ("l_orderkey", "orders", "o_orderkey"): 0.889, ("status", "order", "status"): 0.8,
+                ("property", "pms_properties", "property_id"): 0.9, ("class_id", "class", "id"): 1.0}
+    pairs = spark.createDataFrame(list(expected), "from_column string, to_table string, to_column string")
+    assert {tuple(r)[:3]: r["name_score"] for r in with_name_scores(pairs).collect()} == expected
 
 
 def test_masking(spark):
