@@ -33,9 +33,9 @@ from stratalens.llm.common import bucket, pieces
 from stratalens.staging import stage
 
 #: Bytes of the longest context, and slots of each context's table as a power of two (one byte needs no hash).
-ORDERS, TABLE_BITS = 5, (16, 20, 21, 22, 22)
-#: Words whose counts every task holds.
-HOT_WORDS = 400_000
+ORDERS, TABLE_BITS = 5, (16, 18, 20, 21, 21)
+#: Words whose counts every task holds, at most, and steps in a factor of two by which their least count is found.
+HOT_WORDS, HOT_STEPS = 300_000, 4
 #: Bytes handled at once, words and sequences a task counts before it sends them on, and sequences for one task of the fit.
 CHUNK, HELD, FIT_ROWS = 4_000_000, 300_000, 2_000_000
 #: Slots in a row of a table's sums.
@@ -298,23 +298,50 @@ def fit(counted: DataFrame) -> Model:
     tables = context.broadcast(found)
     weights = fit_weights(sequence, tasks, tables)
     refined = fit_map(sequence, tasks, tables, weights)
-    tables.unpersist()
-    odds = [log_odds(ones.astype(np.float32), zeros.astype(np.float32)).astype(np.float16) for zeros, ones in found]
-    return Model(odds, [confidence(zeros.astype(np.float32) + ones.astype(np.float32)) for zeros, ones in found], weights, refined)
+    tables.destroy()
+    model = Model([], [], weights, refined)
+    for zeros, ones in found:
+        zeros, ones = zeros.astype(np.float32), ones.astype(np.float32)
+        model.odds.append(log_odds(ones, zeros).astype(np.float16))
+        model.levels.append(confidence(zeros + ones))
+    return model
+
+
+def hot_words(words: DataFrame, most: int) -> list[tuple[bytes, bytes]]:
+    """The most frequent words, as many steps of frequency as hold at most so many: words joined by line feeds, with their counts."""
+    step = F.floor(F.log2("n") * HOT_STEPS)
+    words = words.filter(F.col("word") != END)
+    # as many rows as a long has steps
+    total, least = 0, None
+    for row in sorted(words.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        total += row["count"]
+        if total > most:
+            break
+        least = row["step"]
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"words": [b"\n".join(batch["word"])], "counts": [batch["n"].to_numpy(np.int64).tobytes()]})
+
+    if least is None:
+        return []
+    return [(bytes(r["words"]), bytes(r["counts"])) for r in words.filter(step >= least).mapInPandas(packed, "words binary, counts binary").collect()]
 
 
 SCORED = "doc_id long, _key long, held_out boolean, n_words long, hot_known long, hot_sum double, score double, rare array<struct<word: binary, n: long>>"
 
 
-def scored(docs: DataFrame, model: Model, hot: dict[bytes, int]) -> DataFrame:
+def scored(docs: DataFrame, model: Model, hot: list[tuple[bytes, bytes]]) -> DataFrame:
     """For each text its model score, the sums over its hot words, and its other words with their numbers."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((model, hot))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, hot = shared.value
-        place = dict(zip(hot, range(len(hot)), strict=True))
-        logs = np.log10(np.fromiter(hot.values(), np.float64, len(hot)) + 0.1)
+        known_words = [w for words, _ in hot for w in words.split(b"\n")]
+        place = dict(zip(known_words, range(len(known_words)), strict=True))
+        logs = np.log10(np.concatenate([np.frombuffer(n, np.int64) for _, n in hot] or [np.zeros(0)]) + 0.1)
         for batch in batches:
             texts = batch["text"].tolist()
             for part in pieces([len(x) for x in texts], CHUNK):
@@ -341,11 +368,10 @@ def scores(docs: DataFrame) -> DataFrame:
     counted = counts(docs.filter(bucket("doc_id", 10) != 0))
     words = counted.filter("word IS NOT NULL").select("word", "n")
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("kinds")).first()
-    hot = {bytes(r["word"]): r["n"] for r in words.filter(F.col("word") != END).orderBy(F.desc("n"), "word").limit(HOT_WORDS).collect()}
     ends = words.filter(F.col("word") == END).first()
     end = ends["n"] if ends else 0
     each = math.log10(size["tokens"] + 0.1 * (size["kinds"] + 1))
-    found = stage(scored(docs, fit(counted), hot), "lm-scored")
+    found = stage(scored(docs, fit(counted), hot_words(words, HOT_WORDS)), "lm-scored")
     rare = found.select("doc_id", "_key", F.explode("rare").alias("w")).select("doc_id", "_key", "w.word", "w.n").distinct()
     rare = rare.join(words.withColumnRenamed("n", "c"), "word", "left").groupBy("doc_id", "_key").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("sum"))
