@@ -144,13 +144,15 @@ def sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
 
     def summed(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(unpacked(x) for x in rows["cells"])
-        return pd.DataFrame({"at": [key[0]], "cells": [zlib.compress(total.tobytes(), 1)]})
+        small = total.astype(np.uint32) if total.max() < 1 << 32 else total
+        return pd.DataFrame({"at": [key[0]], "sum": [int(total.sum())], "cells": [zlib.compress(small.tobytes(), 1)]})
 
-    rows = docs.select(raw_text()).mapInPandas(counted, "at long, cells binary").groupBy("at").applyInPandas(summed, "at long, cells binary").collect()
-    cells = np.zeros(1 << bits, np.uint64)
+    rows = docs.select(raw_text()).mapInPandas(counted, "at long, cells binary").groupBy("at").applyInPandas(summed, "at long, sum long, cells binary").collect()
+    mean = max(sum(r["sum"] for r in rows) / (1 << bits), 1)
+    levels = np.zeros(1 << bits, np.uint8)
     for r in rows:
-        cells[r["at"]:r["at"] + SKETCH_ROW] = unpacked(r["cells"])
-    return np.log2(1 + cells / max(cells.mean(), 1)).astype(np.uint8)
+        levels[r["at"]:r["at"] + SKETCH_ROW] = np.log2(1 + unpacked(r["cells"]) / mean)
+    return levels
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
