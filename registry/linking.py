@@ -142,9 +142,7 @@ def cardinality(spark, sf):
     for c, fk, p, pk, score in LINKS]).replace("SELECT *,", "SELECT * EXCLUDE (a, m),"))
 def discover_relationships(spark, sf):
     """All foreign-key links between the tables, found from names and values."""
-    named = tables(spark, sf, *NAMES)
-    counted = count_values(named)
-    links = R.discover_relationships(counted.freq, profile(named, counted=counted))
+    links = R.find_links(tables(spark, sf, *NAMES))
     return links.drop("from_id", "to_id", "from_schema", "to_schema", "summary", "method")
 
 
