@@ -27,7 +27,7 @@ from stratalens.llm.common import bucket, pieces
 #: n-grams in a profile, and in the ranking of a document.
 PROFILE = 400
 #: Letters handled at once, so that a task's arrays stay small whatever the length of a text.
-CHUNK = 1_000_000
+CHUNK = 400_000
 #: Bits of an n-gram's code and of a count in a sort key.
 CODE_BITS, COUNT_BITS = 30, 20
 #: Languages that a label column may name; more than that is no language column.

@@ -38,8 +38,10 @@ from stratalens.staging import stage
 WORDS, PERCENT = 5, 80
 #: Cells of the sketch, as a power of two, and cells in one row of its sums.
 SKETCH_BITS, SKETCH_ROW = 24, 1 << 14
+#: Sets a task counts before it sends its cells on.
+SKETCH_SETS = 60_000
 #: Bytes of text handled at once, and rows of a bucket that meet in one block of the last step.
-CHUNK, BLOCK = 2_000_000, 500
+CHUNK, BLOCK = 1_000_000, 500
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,19 +130,30 @@ def sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     """For each cell a level: how many times, as a power of two, it holds more than the mean cell. Its size is fixed by bits."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << bits, np.uint32)
+        total, elements = np.zeros(1 << bits, np.uint16), 0
+
+        def sent() -> Iterator[pd.DataFrame]:
+            for at in range(0, len(total), SKETCH_ROW):
+                part = total[at:at + SKETCH_ROW]
+                if part.any():
+                    # a byte is enough for most parts
+                    small = part.astype(np.uint8) if part.max() < 256 else part
+                    yield pd.DataFrame({"at": [at], "cells": [zlib.compress(small.tobytes(), 1)]})
+            total[:] = 0
+
         for _, sets in in_chunks(batches):
-            np.add.at(total, cell(np.concatenate(sets), bits), np.uint32(1))
-        for at in range(0, len(total), SKETCH_ROW):
-            part = total[at:at + SKETCH_ROW]
-            if part.any():
-                # a byte is enough for most parts
-                small = part.astype(np.uint8 if part.max() < 256 else np.uint32)
-                yield pd.DataFrame({"at": [at], "cells": [zlib.compress(small.tobytes(), 1)]})
+            # a set counts once for an element, so cells can't overflow before so many sets; cells that several elements share are few
+            if elements + len(sets) > SKETCH_SETS:
+                yield from sent()
+                elements = 0
+            cells, n = np.unique(cell(np.concatenate(sets), bits), return_counts=True)
+            total[cells] = np.minimum(total[cells].astype(np.int64) + n, 65_535)
+            elements += len(sets)
+        yield from sent()
 
     def unpacked(cells: bytes) -> np.ndarray:
         data = zlib.decompress(cells)
-        return np.frombuffer(data, {1: np.uint8, 4: np.uint32, 8: np.uint64}[len(data) // SKETCH_ROW]).astype(np.uint64)
+        return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(data) // SKETCH_ROW]).astype(np.uint64)
 
     def summed(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(unpacked(x) for x in rows["cells"])

@@ -28,10 +28,10 @@ from stratalens.llm.common import pieces as slices
 
 #: SentencePiece's mark for a space, as its models have it.
 SPACE = "▁"
-#: Parts kept by a task, and the length up to which a part is kept.
-KEPT_PARTS, KEPT_LENGTH = 400_000, 40
+#: Parts and borders kept by a task, and the length up to which a part is kept.
+KEPT_PARTS, KEPT_BORDERS, KEPT_LENGTH = 300_000, 200_000, 40
 #: Characters handled before results are sent on.
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
                         T.StructField("decoded_sha256", T.StringType())])
@@ -106,7 +106,7 @@ class PrefixTable:
 
     def compatible(self, left: int, right: int) -> bool:
         """Kept answers of replay."""
-        if len(self.border) >= KEPT_PARTS:
+        if len(self.border) >= KEPT_BORDERS:
             self.border.clear()
         known = self.border[left << 20 | right] = self.replay(self.piece[left], self.piece[right])
         return known
@@ -180,13 +180,13 @@ def encoder(model: bytes, with_ids: bool = False):
             built.append(PrefixTable(model))
         for batch in batches:
             texts = batch.fillna("").tolist()
-            rows = []
             for part in slices([len(x) for x in texts], CHUNK):
+                rows = []
                 for text in texts[part]:
                     ids, n, decoded = built[0].encode(text)
                     row = n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
                     rows.append((*row, np.fromiter(map(int, ids.split(" ")), np.int32, n)) if with_ids else row)
-            yield pd.DataFrame(rows, columns=[f.name for f in (WITH_IDS if with_ids else DIGESTS)])
+                yield pd.DataFrame(rows, columns=[f.name for f in (WITH_IDS if with_ids else DIGESTS)])
 
     return encode
 
