@@ -28,8 +28,8 @@ from stratalens.llm.common import bucket, pieces
 PROFILE = 400
 #: Letters handled at once, so that a task's arrays stay small whatever the length of a text.
 CHUNK = 400_000
-#: Bits of an n-gram's code and of a count in a sort key.
-CODE_BITS, COUNT_BITS = 30, 20
+#: Bits of an n-gram's code in a sort key.
+CODE_BITS = 30
 #: Languages that a label column may name; more than that is no language column.
 MOST_LANGUAGES = 5_000
 
@@ -142,19 +142,18 @@ class Profiles:
     def ranked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text number, n-gram code and rank of the most frequent n-grams of each text; ties by code."""
         points, owner = letter_stream(texts)
-        symbols, most = self.symbol[points], (1 << COUNT_BITS) - 1
+        symbols = self.symbol[points]
         keys = np.concatenate([owner[at] << CODE_BITS | codes % (1 << CODE_BITS) for at, codes in gram_codes(symbols, self.base)])
         keys.sort()
         first = np.flatnonzero(np.diff(keys, prepend=-1))
-        counts = np.minimum(np.diff(first, append=len(keys)), most)
-        keys = keys[first]
-        order = (keys >> CODE_BITS) << (CODE_BITS + COUNT_BITS) | (most - counts) << CODE_BITS | keys & ((1 << CODE_BITS) - 1)
-        order.sort()
-        text = order >> (CODE_BITS + COUNT_BITS)
+        counts = np.diff(first, append=len(keys))
+        text, codes = keys[first] >> CODE_BITS, keys[first] & ((1 << CODE_BITS) - 1)
+        # stable, so codes stay in order among equal counts
+        codes = codes[np.lexsort((-counts, text))]
         starts = np.flatnonzero(np.diff(text, prepend=-1))
         rank = np.arange(len(text)) - np.repeat(starts, np.diff(starts, append=len(text)))
         top = rank < self.size
-        return text[top], order[top] & ((1 << CODE_BITS) - 1), rank[top]
+        return text[top], codes[top], rank[top]
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         text, codes, rank = self.ranked(texts)
@@ -178,7 +177,8 @@ def predictor(grams: dict[str, list[str]], size: int = PROFILE):
             built.append(Profiles(grams, size))
         for batch in batches:
             texts, langs, scores = batch.fillna("").tolist(), [], []
-            for part in pieces([len(x) for x in texts], CHUNK):
+            # one more for each text, so that empty ones are bounded too
+            for part in pieces([len(x) + 1 for x in texts], CHUNK):
                 lang, score = built[0].predict(texts[part]) if grams else (["und"] * len(texts[part]), np.zeros(len(texts[part])))
                 langs += lang
                 scores.append(score)

@@ -237,6 +237,23 @@ def test_profiles_count_n_grams():
     assert langid.count_grams(texts) == grams
 
 
+def test_many_short_texts_in_one_batch(spark):
+    texts = ["ab", "", "cd ab", "cd"] * 2500
+    grams = {"x": ["a", "b", "ab", " a"], "y": ["c", "d", "cd", " c"]}
+    assert langid.Profiles(grams).predict(texts)[0] == ["x", "und", "x", "y"] * 2500
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).select("doc_id", langid.predictor(grams)("text").alias("p"))
+    assert {(r.doc_id % 4, r.p.lang_pred) for r in df.collect()} == {(0, "x"), (1, "und"), (2, "x"), (3, "y")}
+
+
+def test_ranks_of_very_frequent_n_grams():
+    n, grams = 1 << 20, ["a", "z", " a", "zzz", "aaa"]
+    found = langid.Profiles({"x": grams})
+    _, codes, rank = found.ranked(["z" * (n + 99) + " " + "a" * (n + 9), "a"])
+    assert list(rank[:4]) == [0, 1, 2, 3]
+    # z, zz, zzz, then a: in order of their counts
+    assert [codes.tolist()[k] for k in (0, 2, 3)] == [found.code(x) for x in ("z", "zzz", "a")]
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     clean = [f"w{i}" for i in range(200)]
