@@ -42,7 +42,14 @@ class Rule:
 #: stand in the pattern; an assignment that is too short still uses up its characters, so its length is tested afterwards.
 BASE = (Rule("assign", 1, """(?i)(password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
         Rule("access", 1, "AKIA[A-Z0-9]{16,}"), Rule("hex", 1, "[0-9a-f]{24,}"))
-MORE = (Rule("pem", 1, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+#: What may stand between the lines of a key: white space, also as escapes, and marks of quoting; headers before its base64 lines.
+_GAP = r"""(?:\\[rnt]|\s|-(?!----)|["'>#*|,;.])*+"""
+_HEADERS = rf"(?:{_GAP}[A-Za-z][A-Za-z0-9-]{{0,40}}:[^\r\n\\]*+)*+"
+#: A private key up to its END line. Without one: up to the end of its base64 lines, the last of which may be short, or of a line that the
+#: text breaks off. Groups are repeated possessively, which takes no stack; no part goes beyond the next five dashes, so time is linear.
+_KEY = (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-{5,6}END [A-Z ]{0,40}PRIVATE KEY-----"
+        rf"|{_HEADERS}(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+)++(?:{_GAP}[A-Za-z0-9+/=]++)?|{_GAP}[A-Za-z0-9+/=]++\s*+\z)?")
+MORE = (Rule("pem", 2, _KEY), Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
         Rule("forge", 1, "gh[pousr]_[A-Za-z0-9]{36,}"))
 RULES = BASE + MORE
 
