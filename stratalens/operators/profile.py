@@ -30,9 +30,11 @@ PII_SHARE, ONE_FORMAT_SHARE, HIGH_NULL_PCT, FEW_NEGATIVES = 0.8, 0.8, 50, 0.05
 SKETCH_BITS = 14        # of distinct-count sketches: standard error below 1 %
 
 
-def whole_counts(tables: Tables, metas: list[ColumnMeta]) -> DataFrame:
+def whole_counts(tables: Tables, metas: list[ColumnMeta], fences: dict[int, tuple[float, float]] | None = None) -> DataFrame:
     """(col_id, row_count, non_null, blank_count, min_val, max_val, approx_distinct): one aggregate per table, combined in
-    the map tasks, for tables too big to count every value of. Only sketches and extremes leave a task."""
+    the map tasks, for tables too big to count every value of. Only sketches and extremes leave a task.
+
+    fences: of numeric columns by col_id; if given, also negative_count, placeholder_count and outlier_count."""
     views, parts = {}, []
     for i, (name, df) in enumerate(tables.items()):
         types = {f.name: f.dataType for f in df.schema.fields}
@@ -42,15 +44,30 @@ def whole_counts(tables: Tables, metas: list[ColumnMeta]) -> DataFrame:
                 continue
             c = V.quoted(m.column_name) if m.family != "other" else V.text_of(m.column_name, types[m.column_name])
             blank = f"count_if(trim({c}) = '')" if m.family == "string" else "CAST(NULL AS bigint)"
+            odd = "" if fences is None else _odd_counts(m, c, fences.get(m.col_id))
             rows.append(f"""struct({m.col_id} AS col_id, count(1) AS row_count, count({c}) AS non_null, {blank} AS blank_count,
                 CAST(min({c}) AS string) AS min_val, CAST(max({c}) AS string) AS max_val,
-                hll_sketch_estimate(hll_sketch_agg(CAST({c} AS string), {SKETCH_BITS})) AS approx_distinct)""")
+                hll_sketch_estimate(hll_sketch_agg(CAST({c} AS string), {SKETCH_BITS})) AS approx_distinct{odd})""")
         if rows:
             views[f"t{i}"] = df
             parts.append(f"SELECT inline(r) FROM (SELECT array({', '.join(rows)}) AS r FROM {{t{i}}})")
     return next(iter(tables.values())).sparkSession.sql(" UNION ALL ".join(parts), **views)
 
 
+def _odd_counts(m: ColumnMeta, c: str, fence: tuple[float, float] | None) -> str:
+    """SQL for a column's negative, placeholder and outlier rows, by the tests of value_kinds and outliers."""
+    number, key_like, tests = f"CAST({c} AS double)", keyish(m.column_name), ["false"] * 3
+    if m.family == "string":
+        tests[1] = V.placeholder_test(f"trim({c})", key_like)
+    elif m.family == "temporal":
+        tests[1] = f"year(CAST({c} AS timestamp)) <= 1900 OR year(CAST({c} AS timestamp)) >= 9999"
+    elif m.family == "numeric":
+        tests[0] = f"{number} < 0"
+        tests[1] = f"{number} IN (0.0D, -1.0D)" if key_like else "false"
+        tests[2] = "false" if fence is None else " OR ".join(f"{number} {side} CAST('{x!r}' AS double)" for side, x in zip("<>", fence))
+    return "".join(f", count_if({test}) AS {kind}_count" for kind, test in zip(("negative", "placeholder", "outlier"), tests))
+
+
 @dataclass
 class Counted:
     """Tables with their column metadata and value counts (nulls included): the input of every value-based operator."""
@@ -441,31 +458,45 @@ def _exact_if_near(tables: Tables, metas: list[ColumnMeta], stats: DataFrame, ne
 
 
 def whole_table_profile(tables: Tables, sample_rows: int, seed: int = 42) -> DataFrame:
-    """Details (frequent values, shapes, quantiles, histogram) from a sample of each bigger table, counts, extremes and
-    distinct counts from the whole table; the flags follow the whole-table numbers."""
+    """Details (frequent values, shapes, quantiles, histogram) from a sample of each bigger table; counts, extremes and
+    distinct counts from the whole table, and so are negatives, placeholders and the values beyond the sample's fences; the
+    flags follow the whole-table numbers."""
     sizes = {name: df.count() for name, df in tables.items()}
     drawn = {name: df if sizes[name] <= sample_rows else df.sample(sample_rows / sizes[name], seed)
              for name, df in tables.items()}
     detail = profile(drawn)
     metas = column_list(tables)
     names = column_frame(next(iter(tables.values())).sparkSession, metas).select("col_id", "column_name")
-    whole = held(whole_counts(tables, metas))
+    whole = held(whole_counts(tables, metas, _fences(detail)))
     distinct = _exact_if_near(tables, metas, whole).select(
         "col_id", F.coalesce("exact_distinct", "approx_distinct").alias("_distinct"))
     counts = whole.select(
         "col_id", F.col("row_count").alias("_rows"), F.col("non_null").alias("_nn"), F.col("blank_count").alias("_blank"),
-        V.shown(F.col("min_val")).alias("_min"), V.shown(F.col("max_val")).alias("_max"))
+        V.shown(F.col("min_val")).alias("_min"), V.shown(F.col("max_val")).alias("_max"), F.col("negative_count").alias("_negative"),
+        F.col("placeholder_count").alias("_odd"), F.col("outlier_count").alias("_outside"))
     whole = names.join(counts, "col_id").join(distinct, "col_id").drop("column_name")
-    merged = detail.join(whole, "col_id").withColumns({
+    is_measured = (F.col("family") == "numeric") & (F.col("_nn") > 0) & ~F.col("column_name").rlike(KEYISH_NAME)
+    empty = F.col("_rows") - F.col("_nn") + F.coalesce("_blank", F.lit(0)) + F.col("_odd")
+    merged = detail.withColumn("_sampled", F.col("non_null")).join(whole, "col_id").withColumns({
         "row_count": F.col("_rows"), "non_null": F.col("_nn"), "null_count": F.col("_rows") - F.col("_nn"),
         "null_pct": pct(F.col("_rows") - F.col("_nn"), F.col("_rows")), "blank_count": F.coalesce("_blank", "blank_count"),
         "min_val": F.coalesce("_min", "min_val"), "max_val": F.coalesce("_max", "max_val"),
-        "distinct_count": F.col("_distinct"), "distinct_pct": pct(F.col("_distinct"), F.col("_nn"))})
-    sampled = F.col("non_null") / F.greatest(F.col("_nn"), F.lit(1))
-    merged = merged.withColumns({c: F.round(F.col(c) / sampled).cast("bigint") for c in ("email_rows", "phone_rows", "same_shape_rows")})
+        "distinct_count": F.col("_distinct"), "distinct_pct": pct(F.col("_distinct"), F.col("_nn")),
+        "placeholder_count": F.col("_odd"), "effective_null_pct": pct(empty, F.col("_rows")),
+        "negative_count": F.when(is_measured, F.col("_negative")), "outlier_count": F.when(is_measured, F.col("_outside"))})
+    grown = F.col("_nn") / F.nullif(F.col("_sampled"), F.lit(0))
+    merged = merged.withColumns({c: F.coalesce(F.round(F.col(c) * grown).cast("bigint"), F.col(c))
+                                 for c in ("email_rows", "phone_rows", "same_shape_rows")})
     return stage(with_flags(merged.select(*detail.columns)), "profile")
 
 
+def _fences(profiled: DataFrame) -> dict[int, tuple[float, float]]:
+    """Outlier fences of the measure columns of a profile, from its quartiles."""
+    quartiles = profiled.where((F.col("family") == "numeric") & F.col("p25").isNotNull()).select("col_id", "column_name", "p25", "p75")
+    found = {r["col_id"]: (float(r["p25"]), float(r["p75"])) for r in quartiles.collect() if not keyish(r["column_name"])}
+    return {i: (low - FENCE * (high - low), high + FENCE * (high - low)) for i, (low, high) in found.items() if high > low}
+
+
 def resilient_profile(tables: Tables) -> DataFrame:
     """profile(); a column that cannot be profiled keeps its counts and the flag profile_error and does not lose the
     table. Values are read with try_ functions, so only a column that cannot be read at all gets here."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratalens.operators import catalog as K
 from stratalens.operators import codes, compare, dependencies, duplicates, grain, lookup, optional, relate, rules
 from stratalens.operators.graph import connected_components
-from stratalens.operators.profile import count_values, profile
+from stratalens.operators.profile import count_values, profile, whole_table_profile
 from stratalens.plans.analysis import analyse
 from stratalens.sources import loading, readers
 from stratalens.sources.sampling import key_sample, plan_key_samples
@@ -52,6 +52,24 @@ def test_grain(spark):
     assert found and not found[0]["dup_rows"] or found[0]["near"]
 
 
+def test_whole_table_profile_counts_odd_values_of_all_rows(spark):
+    df = spark.range(20_000).selectExpr(
+        "IF(id % 5 < 2, -1, 1) * (id % 97 + 1D) AS balance", "IF(id % 10 < 3, ' n/a ', concat('t', id % 50)) AS note",
+        "IF(id % 4 = 0, DATE'1900-01-01', DATE'2020-05-05') AS day", "IF(id % 8 = 0, 0, id) AS part_id",
+        "IF(id % 1000 = 7, 1e9D, id % 31 + 0.5D) AS price", "IF(id % 6 = 0, NULL, concat('u', id % 9, '@x.org')) AS mail")
+    got = {r.column_name: r for r in whole_table_profile({"t": df}, sample_rows=1000).collect()}
+    whole = {r.column_name: r for r in profile({"t": df}).collect()}
+    for name, r in whole.items():
+        for field in ("row_count", "non_null", "placeholder_count", "negative_count", "effective_null_pct"):
+            assert got[name][field] == r[field], (name, field)
+        assert set(got[name].flags) == set(r.flags), name
+        if r.outlier_count is not None:
+            low, high = got[name].outlier_low, got[name].outlier_high
+            assert got[name].outlier_count == df.where(f"{name} < {low} OR {name} > {high}").count()
+    assert got["price"].outlier_count == 20 and got["note"].placeholder_count == 6000 and got["balance"].negative_count == 8000
+    assert abs(got["mail"].email_rows - got["mail"].non_null) <= 1
+
+
 def test_dependencies_and_exceptions(spark):
     rows = [(i % 20, f"n{i % 20}" if i % 100 else "typo", i % 4, i) for i in range(2000)]
     df = spark.createDataFrame(rows, "prop_id int, prop_name string, region int, rid int")
