@@ -43,7 +43,8 @@ def grain(spark, sf):
     named = tables(spark, sf, *_GRAIN_COLUMNS)
     named["conversations"] = named["conversations"].select(*_GRAIN_COLUMNS["conversations"])      # the prose is unique by itself
     p = profile(named)
-    found = G.grain(named["lineitem"], p, "main", "lineitem").unionByName(G.grain(named["conversations"], p, "main", "conversations"))
+    found = G.grain(named["lineitem"], p, "main", "lineitem", most=3).unionByName(
+        G.grain(named["conversations"], p, "main", "conversations", most=3))       # the SQL reports three
     return found.select("table_name", "rank", F.array_join(F.array_sort("combo"), " + ").alias("combo"), "distinct_rows", "dup_rows", "near")
 
 

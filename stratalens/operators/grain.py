@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import itertools
+import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.types import GRAIN_NAME, col, dateish, is_measure_type, keyish
 
-# Candidate columns tried, combinations reported, share of distinct rows that counts as nearly unique,
-# average length above which a text column is prose.
-MAX_CANDIDATES, MAX_COMBOS, NEARLY, LONG_TEXT = 8, 3, 0.999, 60
+# Share of distinct rows that counts as nearly unique, average length above which a text column is prose.
+NEARLY, LONG_TEXT = 0.999, 60
+# Combinations in one job: of sketches, and of exact counts.
+SKETCHED, COUNTED = 200, 16
 SLICES = 16
 SKETCH_BITS, SKETCH_MARGIN = 14, 0.05      # of distinct-count sketches, and six of their standard errors
 
@@ -46,19 +49,7 @@ def grain_candidates(infos: list[dict]) -> list[dict]:
     ]
     telling = lambda n: keyish(n) or dateish(n) or bool(re.search(GRAIN_NAME, n))
     usable.sort(key=lambda i: (not telling(i["column_name"]), -i["distinct_count"]))
-    return usable[:MAX_CANDIDATES]
-
-
-def combos_to_test(candidates: list[dict], size: int, rows: int) -> list[list[str]]:
-    """Combinations whose distinct counts multiply to at least the number of rows."""
-    out = []
-    for combo in itertools.combinations(candidates, size):
-        product = 1
-        for info in combo:
-            product *= info["distinct_count"]
-        if product >= rows:
-            out.append([i["column_name"] for i in combo])
-    return out
+    return usable
 
 
 def count_combos(df: DataFrame, combos: list[list[str]]) -> list[int]:
@@ -67,11 +58,51 @@ def count_combos(df: DataFrame, combos: list[list[str]]) -> list[int]:
     return list(counts.first())
 
 
-def likely_combos(df: DataFrame, combos: list[list[str]], rows: int) -> list[list[str]]:
-    """The combinations that can be nearly unique, by one sketch of each, all in one aggregate that a row passes once."""
+def sketch_combos(df: DataFrame, combos: list[list[str]]) -> list[int]:
+    """Estimates of the distinct rows of every combination, by one sketch of each, all in one aggregate that a row passes once."""
     sketches = [F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[x for c in combo for x in (col(c), col(c).isNull())]), F.lit(SKETCH_BITS))).alias(str(i))
                 for i, combo in enumerate(combos)]
-    return [c for c, n in zip(combos, df.agg(*sketches).first()) if n >= (NEARLY - SKETCH_MARGIN) * rows]
+    return list(df.agg(*sketches).first())
+
+
+def likely_combos(df: DataFrame, combos: list[list[str]], rows: int) -> list[list[str]]:
+    """The combinations that can be nearly unique."""
+    return [c for c, n in zip(combos, sketch_combos(df, combos)) if n >= (NEARLY - SKETCH_MARGIN) * rows]
+
+
+def in_batches(f: Callable[[DataFrame, list[list[str]]], list[int]], df: DataFrame, combos: list[list[str]], size: int) -> list[int]:
+    return [n for i in range(0, len(combos), size) for n in f(df, combos[i:i + size])]
+
+
+def smallest_combos(df: DataFrame, distinct: dict[str, int], target: int) -> list[list[str]]:
+    """All combinations of the fewest columns, two at least, with as many distinct rows (target) as all columns together.
+
+    Level by level, without a limit of columns or levels. A combination has no more distinct rows than a part of it times
+    the rest, so most are ruled out by the estimates of the level before; a column without which the others tell clearly
+    fewer rows apart is in all of them."""
+    names, close = list(distinct), (1 - SKETCH_MARGIN) * target
+    others = [[c for c in names if c != n] for n in names]
+    needed = {n for n, d in zip(names, in_batches(sketch_combos, df, others, SKETCHED)) if d < close} if len(names) > 2 else set()
+    most: dict[tuple[str, ...], float] = {}        # upper bounds of the level before
+    for size in range(max(2, len(needed)), len(names) + 1):
+        bounds, combos = {}, []
+        free = [n for n in names if n not in needed]
+        for chosen in itertools.combinations(free, size - len(needed)):
+            combo = tuple(n for n in names if n in needed or n in chosen)
+            bound = math.prod(distinct[n] for n in combo)
+            for n in combo:
+                part = tuple(x for x in combo if x != n)
+                bound = min(bound, most.get(part, bound) * distinct[n])
+            bounds[combo] = bound
+            if bound >= target:
+                combos.append(combo)
+        estimates = dict(zip(combos, in_batches(sketch_combos, df, [list(c) for c in combos], SKETCHED)))
+        likely = [list(c) for c in combos if estimates[c] >= close]
+        found = [c for c, d in zip(likely, in_batches(count_combos, df, likely, COUNTED)) if d == target]
+        if found:
+            return found
+        most = {c: min(b, estimates[c] / (1 - SKETCH_MARGIN)) if c in estimates else b for c, b in bounds.items()}
+    return []
 
 
 def duplicates_in_slice(df: DataFrame, combos: list[list[str]], slices: int = SLICES) -> list[int]:
@@ -88,40 +119,33 @@ def duplicates_in_slice(df: DataFrame, combos: list[list[str]], slices: int = SL
     return [row[f"rows{i}"] - row[f"distinct{i}"] for i in range(len(combos))]
 
 
-def find_grain(df: DataFrame, infos: list[dict]) -> list[dict]:
-    """[{combo, distinct_rows, dup_rows, near}]: single keys from the profile, else pairs, else triples; if nothing is
-    unique, the best combination when at most one row in a thousand is a duplicate."""
+def find_grain(df: DataFrame, infos: list[dict], most: int | None = None) -> list[dict]:
+    """[{combo, distinct_rows, dup_rows, near}]: single keys from the profile, else all unique combinations of the fewest
+    columns, or the first `most` of them; if nothing is unique, the smallest combination that tells the most rows apart, when
+    at most one row in a thousand is a duplicate."""
     rows = infos[0]["row_count"] if infos else 0
     keys = [i["column_name"] for i in infos if "candidate_pk" in i["flags"]]
     if keys:
         return [{"combo": [k], "distinct_rows": rows, "dup_rows": 0, "near": False} for k in keys]
-    candidates = grain_candidates(infos)
-    best = None
-    for size in (2, 3):
-        combos = combos_to_test(candidates, size, rows)
-        combos = likely_combos(df, combos, rows) if combos else []
-        if not combos:
-            continue
-        tested = [
-            {"combo": c, "distinct_rows": d, "dup_rows": rows - d, "near": d < rows}
-            for c, d in zip(combos, count_combos(df, combos))
-        ]
-        unique = [t for t in tested if not t["near"]]
-        if unique:
-            return unique[:MAX_COMBOS]
-        top = max(tested, key=lambda t: t["distinct_rows"])
-        if best is None or top["distinct_rows"] > best["distinct_rows"]:
-            best = top
-    return [best] if best and best["distinct_rows"] >= NEARLY * rows else []
+    distinct = {i["column_name"]: i["distinct_count"] for i in grain_candidates(infos)}
+    if len(distinct) < 2 or math.prod(distinct.values()) < NEARLY * rows:
+        return []
+    # no combination tells more rows apart than all candidates together
+    target = count_combos(df, [list(distinct)])[0]
+    if target < NEARLY * rows:
+        return []
+    found = [{"combo": c, "distinct_rows": target, "dup_rows": rows - target, "near": target < rows}
+             for c in smallest_combos(df, distinct, target)]
+    return found[:most] if target == rows else found[:1]
 
 
 GRAIN_SCHEMA = ("schema_name string, table_name string, rank int, combo array<string>, distinct_rows bigint, "
                 "dup_rows bigint, near boolean")
 
 
-def grain(df: DataFrame, profiled: DataFrame, schema: str, table: str) -> DataFrame:
-    """The grain of one table as rows, best combination first."""
-    found = find_grain(df, column_infos(profiled, schema, table))
+def grain(df: DataFrame, profiled: DataFrame, schema: str, table: str, most: int | None = None) -> DataFrame:
+    """The grain of one table as rows, best combination first; all of them, or the first `most`."""
+    found = find_grain(df, column_infos(profiled, schema, table), most)
     rows = [(schema, table, i, g["combo"], g["distinct_rows"], g["dup_rows"], g["near"])
             for i, g in enumerate(found, start=1)]
     return df.sparkSession.createDataFrame(rows, GRAIN_SCHEMA)

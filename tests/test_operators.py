@@ -52,6 +52,19 @@ def test_grain(spark):
     assert found and not found[0]["dup_rows"] or found[0]["near"]
 
 
+def test_grain_has_no_limit_of_columns_or_results(spark):
+    def found(df):
+        return [(set(g["combo"]), g["dup_rows"], g["near"]) for g in grain.find_grain(df, grain.column_infos(profile({"t": df}), "main", "t"))]
+
+    # nine columns that come first and tell nothing more, then the two of the key
+    wide = spark.range(400).selectExpr(*[f"CAST(id DIV 20 AS int) AS c{k}_id" for k in range(9)], "CAST(id DIV 4 AS int) % 5 AS step", "CAST(id % 4 AS int) AS part")
+    assert found(wide) == [({f"c{k}_id", "step", "part"}, 0, False) for k in range(9)]
+    four = spark.range(4096).selectExpr(*[f"CAST(id DIV {8 ** k} % 8 AS int) AS k{k}_id" for k in range(4)], "'c' AS fixed")
+    assert found(four) == [({"k0_id", "k1_id", "k2_id", "k3_id"}, 0, False)]
+    assert found(four.union(four.limit(2))) == [({"k0_id", "k1_id", "k2_id", "k3_id"}, 2, True)]
+    assert found(four.union(four)) == []
+
+
 def test_whole_table_profile_counts_odd_values_of_all_rows(spark):
     df = spark.range(20_000).selectExpr(
         "IF(id % 5 < 2, -1, 1) * (id % 97 + 1D) AS balance", "IF(id % 10 < 3, ' n/a ', concat('t', id % 50)) AS note",
