@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import chat, decontaminate, langid, lexical, lm_score, ngram_join, pieces, repair, secrets, topk, toxicity, warc
+from stratalens.llm import chat, decontaminate, langid, lexical, lm_score, ngram_join, pieces, quality, repair, secrets, topk, toxicity, warc
 from stratalens.llm.common import read
 from stratalens.staging import shared_folder
 
@@ -93,6 +93,12 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.rules(docs, quality.fit(docs, read(spark, sf_dir, "labels"))).drop("content_lines")
+
+
 @query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations")

@@ -162,8 +162,11 @@ def test_repair(spark, turns, block, fan_in):
     df = with_clashing(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).repartition(4)
     found = repair.repaired(repair.damaged(df), df, block, fan_in).collect()
     want = expected(damaged(turns), {r[0] for r in turns})
-    assert {r.conv_id: tuple(r)[1:] for r in found} == want and len(found) == len(want)
-    assert {"D", "I", "K", "R"} <= set("".join(v[6] for v in want.values()))
+    found_by = {r.conv_id: tuple(r)[1:] for r in found}
+    assert [(c, found_by.get(c), want[c]) for c in want if found_by.get(c) != want[c]] == []
+    assert len(found) == len(want)
+    # an insertion is never cheapest at these costs, it is always among the lists that are compared
+    assert set("".join(v[6] for v in want.values())) == {"D", "K", "R"}
 
 
 def test_repair_of_undamaged_rows_and_of_nothing(spark, turns):
