@@ -105,7 +105,7 @@ def table(spark):
         good, junk = ([" ".join(rng.sample(x.split(), len(x.split()))) for _ in range(rng.randint(4, 9))] for x in (GOOD, JUNK))
         text = "\n".join(good if i % 3 else junk + good[:1])
         rows.append((i, text, 1 if i % 3 else 0))
-    extra = [(1000, None, None), (1001, "", None), (1002, "\n".join([JUNK] + [f"{GOOD} {i}" for i in range(9)]), None), (3, rows[3][1], None), (None, rows[1][1], None)]
+    extra = [(1000, None, None), (1001, "", None), (1002, "\n".join([JUNK] + [" ".join(rng.sample(GOOD.split(), 10)) for _ in range(9)]), None), (3, rows[3][1], None), (None, rows[1][1], None)]
     docs = spark.createDataFrame([r[:2] for r in rows + extra], "doc_id long, text string").withColumns({k: F.lit(v) for k, v in CLASHING.items()})
     labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows] + [(4, 1, 0), (None, 1, 0), (5000, 0, 1), (7, None, 0)], "doc_id long, quality int, toxic int")
     return rows + extra, docs, labels
@@ -121,7 +121,7 @@ def test_rules(table):
         if r.doc_id is not None and r.doc_id < 240:
             by_text[r.doc_id] = r
     held_out = [(i, y) for i, _, y in rows[:240] if zlib.crc32(str(i).encode()) % 3 == 1]
-    assert len(held_out) > 20 and all(by_text[i].kept == bool(y) for i, y in held_out)
+    assert len(held_out) > 20 and [i for i, y in held_out if by_text[i].kept != bool(y)] == []
     for (i, text, _), r in ((x, by_text.get(x[0])) for x in rows[:240]):
         assert tuple(r)[1:7] == counts(text) and 0 <= r.content_share <= 1, i
     mixed = next(r for r in found if r.doc_id == 1002)
