@@ -6,6 +6,7 @@ The scores follow the public definitions: ratio is the normalised insertion/dele
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,6 +113,68 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
+#: Texts up to this length are compared in arrays, a whole batch of pairs at once; longer ones pair by pair.
+ARRAY_CHARS = 64
+
+
+def code_points(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points by place and text, 0 behind a text's end, and the lengths. Code points are raised by 2, so none is 0 or 1."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32) + 2
+    out = np.zeros((len(texts), width), np.int32)
+    out[np.arange(width)[None] < sizes[:, None]] = flat
+    return np.ascontiguousarray(out.T), sizes
+
+
+def _matched(chars: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """The taken characters of each text, moved to the front."""
+    order = np.argsort(~taken, axis=0, kind="stable")
+    return np.take_along_axis(chars, order, 0)
+
+
+def jaro_winkler_arrays(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """The same scores as jaro_winkler for many pairs of texts, given as code points by place."""
+    b = np.where(b == 0, 1, b)
+    reach = np.maximum(np.maximum(size_a, size_b) // 2 - 1, 0)
+    mine, theirs = np.zeros(a.shape, bool), np.zeros(b.shape, bool)
+    most = int(reach.max(initial=0))
+    for i in range(len(a)):
+        open_ = a[i] > 0
+        for j in range(max(0, i - most), min(len(b), i + most + 1)):
+            hit = (a[i] == b[j]) & open_ & ~theirs[j] & (reach >= abs(i - j))
+            theirs[j] |= hit
+            open_ &= ~hit
+        mine[i] = ~open_ & (a[i] > 0)
+    m = mine.sum(0)
+    width = min(len(a), len(b))
+    differ = (_matched(a, mine)[:width] != _matched(b, theirs)[:width]) & (np.arange(width)[:, None] < m)
+    swaps = differ.sum(0) // 2
+    some = np.maximum(m, 1)
+    jaro = (m / np.maximum(size_a, 1) + m / np.maximum(size_b, 1) + (m - swaps) / some) / 3
+    lead = np.cumprod(a[:4][: len(b)] == b[:4][: len(a)], axis=0).sum(0)
+    score = np.where(jaro <= 0.7, jaro, jaro + 0.1 * lead * (1 - jaro))
+    whole = (size_a == size_b) & (np.pad(a, ((0, max(0, len(b) - len(a))), (0, 0))) == np.pad(np.where(b == 1, 0, b), ((0, max(0, len(a) - len(b))), (0, 0)))).all(0)
+    return np.where((m == 0) | (size_a == 0) | (size_b == 0), 0.0, np.where(whole, 1.0, score))
+
+
+def jaro_winkler_pairs(a: pd.Series, b: pd.Series) -> pd.Series:
+    """jaro_winkler of each pair; null if either is."""
+    out = np.full(len(a), np.nan)
+    known = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+    x, y = a.to_numpy(object)[known], b.to_numpy(object)[known]
+    longest = np.array([max(len(s), len(t)) for s, t in zip(x, y, strict=True)], np.int64)
+    for i in np.flatnonzero(longest > ARRAY_CHARS):
+        out[known[i]] = jaro_winkler(x[i], y[i])
+    short = np.flatnonzero(longest <= ARRAY_CHARS)
+    short = short[np.argsort(longest[short], kind="stable")]
+    for start in range(0, len(short), 4096):
+        at = short[start:start + 4096]
+        width = max(int(longest[at].max()), 1)
+        (p, n), (q, m) = code_points(list(x[at]), width), code_points(list(y[at]), width)
+        out[known[at]] = jaro_winkler_arrays(p, n, q, m)
+    return pd.Series(out)
+
+
 def _pairwise(score):
     def over(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else score(x, y) for x, y in zip(a, b)], dtype="float64")
@@ -123,4 +186,4 @@ ratio_udf = _pairwise(ratio)
 partial_ratio_udf = _pairwise(partial_ratio)
 token_set_ratio_udf = _pairwise(token_set_ratio)
 weighted_ratio_udf = _pairwise(weighted_ratio)
-jaro_winkler_udf = _pairwise(jaro_winkler)
+jaro_winkler_udf = F.pandas_udf(jaro_winkler_pairs, T.DoubleType())

@@ -20,22 +20,18 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     links = stage(
         pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    signature = _signature(links)
-    while True:
-        links = _small_star(_large_star(links))
-        links = stage(links, "edges")
-        fresh = _signature(links)
-        if fresh == signature:
-            break
-        signature = fresh
+    while not _stars(links):
+        links = stage(_small_star(_large_star(links)), "edges")
     # now every node points at the smallest node of its component
     named = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def _signature(links: DataFrame) -> tuple:
-    """Row count and order-free digest of the edge list."""
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(links: DataFrame) -> bool:
+    """Whether every node either points at one smaller node or is pointed at: then it points at the smallest of its component."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")),
+                                          F.struct(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where('"out" > 1 OR ("out" > 0 AND "in" > 0)'.replace('"', "`")).isEmpty()
 
 
 def _large_star(links: DataFrame) -> DataFrame:

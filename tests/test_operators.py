@@ -3,12 +3,16 @@
 import itertools
 import random
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from stratalens.functions.similarity import jaro_winkler, jaro_winkler_pairs
 from stratalens.operators import catalog as K
 from stratalens.operators import codes, compare, dependencies, duplicates, grain, lookup, optional, relate, rules
 from stratalens.operators.graph import connected_components
 from stratalens.operators.profile import count_values, profile, whole_table_profile
+from stratalens.operators.similar import similar_pairs
 from stratalens.plans.analysis import analyse
 from stratalens.sources import loading, readers
 from stratalens.sources.sampling import key_sample, plan_key_samples
@@ -133,10 +137,62 @@ def test_duplicates_against_all_pairs(spark):
         for ids in blocks.values():
             expected |= {(a, b) for a, b in itertools.combinations(sorted(ids), 2)}
     assert got == expected
-    # a threshold takes out pairs that can't reach it, and no others
-    scored = {(r["ra"], r["rb"]) for r in duplicates.score_pairs(duplicates.blocking_pairs(records, roles), records, roles, 0.9).collect()}
-    pruned = duplicates.blocking_pairs(records, roles, 0.9)
-    assert {(r["ra"], r["rb"]) for r in duplicates.score_pairs(pruned, records, roles, 0.9).collect()} == scored and pruned.count() < len(got)
+
+
+def scored_by_hand(rows, roles, threshold):
+    """Pairs that share a block, with their score, from all pairs."""
+    known, out = list(roles), {}
+    for x, y in itertools.combinations(sorted(rows), 2):
+        a, b = dict(zip(known, x[1:], strict=True)), dict(zip(known, y[1:], strict=True))
+        start = {r: f"{v['last_name'][:3]}" if v["last_name"] else None for r, v in (("a", a), ("b", b))}
+        share = any(a[r] is not None and a[r] == b[r] for r in ("email", "phone"))
+        share |= None not in (a["first_name"], a["last_name"]) and (a["first_name"], a["last_name"]) == (b["first_name"], b["last_name"])
+        share |= a["dob"] is not None and a["dob"] == b["dob"] and start["a"] is not None and start["a"] == start["b"]
+        both = [r for r in known if a[r] is not None and b[r] is not None]
+        if not share or len(both) < duplicates.MIN_COMPARED:
+            continue
+        similar = sum(duplicates.WEIGHTS[r] * (jaro_winkler(a[r], b[r]) if r in duplicates.NAME_ROLES else float(a[r] == b[r])) for r in both)
+        score = similar / sum(duplicates.WEIGHTS[r] for r in both)
+        if score >= threshold:
+            out[x[0], y[0]] = (round(score, 9), len(both))
+    return out
+
+
+@pytest.mark.parametrize(("threshold", "small", "tile"), [(0.9, 64, 16384), (0.9, 1, 7), (0.8, 3, 20), (0.5, 1, 1000), (0.95, 1, 1)])
+def test_similar_pairs_are_all_pairs(spark, threshold, small, tile):
+    rng = random.Random(11)
+    first = ["anna", "ana", "hannah", "bob", "bobby", "zoë", "x", "carla maria", "a" * 90, "a" * 89 + "b"]
+    last = ["rossi", "rosi", "rossie", "bianchi", "biancchi", "de la cruz", "delacruz", "li", "ossir"]
+    maybe = lambda v, p=0.8: v if rng.random() < p else None
+    rows = [(i, maybe(f"m{rng.randint(0, 25)}@x", 0.5), maybe(str(rng.randint(0, 4))), maybe(rng.choice(first)), maybe(rng.choice(last), 0.9), maybe(f"1990-01-0{rng.randint(1, 6)}", 0.6))
+            for i in range(220)]
+    roles = ["email", "phone", "first_name", "last_name", "dob"]
+    records = spark.createDataFrame([*rows, (None, "m1@x", "1", "anna", "rossi", None)], "rid int, " + ", ".join(f"n_{r} string" for r in roles))
+    names = {r: r for r in roles}
+    weights = {r: duplicates.WEIGHTS[r] for r in roles}
+    found = similar_pairs(records, duplicates.block_keys(names), weights, duplicates.NAME_ROLES, threshold, duplicates.MIN_COMPARED, small, tile).collect()
+    expected = scored_by_hand(rows, roles, threshold)
+    assert {(r["ra"], r["rb"]): (round(r["score"], 9), r["compared"]) for r in found} == expected and len(found) == len(expected) > 20
+
+
+def test_jaro_winkler_of_many_pairs():
+    rng = random.Random(3)
+    a = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(0, 14))) for _ in range(3000)] + [None, "x", "a" * 70, "\x00\x01"]
+    b = [rng.choice([x, x[::-1], x[1:] + "x", "".join(rng.sample(x, len(x))), "abc" * 30]) for x in a[:3000]] + ["x", None, "a" * 69, "\x00"]
+    expected = [None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)]
+    assert [None if v != v else v for v in jaro_winkler_pairs(pd.Series(a), pd.Series(b))] == expected
+
+
+def test_one_phone_and_many_names(spark):
+    """A block with all records: pairs are formed for those that can be similar, and near copies are found."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(6, 10)))
+    people = [(i, word(), word(), "+1 555 000 1234") for i in range(6000)]
+    people += [(10_000 + i, people[i][1], people[i][2] + "x", "+1 555 000 1234") for i in range(30)]
+    df = spark.createDataFrame(people, "id int, first_name string, last_name string, phone string")
+    found = duplicates.find_duplicates(df, "id", {"phone": "phone", "first_name": "first_name", "last_name": "last_name"})
+    pairs = {(r["ra"], r["rb"]) for r in found["pairs"].collect()}
+    assert pairs >= {(i, 10_000 + i) for i in range(30)} and len(pairs) < 60
 
 
 def test_duplicates_in_large_blocks(spark):
