@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratalens.llm import decontaminate, langid, ngram_join, pieces, secrets
-from stratalens.llm.common import bucket, fitting
+from stratalens.llm.common import bucket, fitting, own, unused
 from stratalens.llm.queries import public_model
 from stratalens.staging import shared_folder, stage
 
@@ -23,8 +23,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told; those without a letter or a text go."""
-    found = langid.identify(docs, bucket("doc_id", 3) != 1)
-    return found.filter(F.col("lang_pred") != "und").select(docs.columns)
+    return langid.in_known_language(docs, bucket("doc_id", 3) != 1)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +33,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # ids that stand on several rows are rare; only these are ranked
     repeated = fitting(stage(found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated"))
     kept = docs.join(dropped, "doc_id", "left_anti")
-    again = kept.join(repeated, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")))
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(again.filter("_nth = 1").drop("_nth")).select(docs.columns)
+    nth = unused(docs, "_nth")
+    again = kept.join(repeated, "doc_id", "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")))
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(again.filter(F.col(nth) == 1).drop(nth)).select(own(docs))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import fitting, words
+from stratalens.llm.common import fitting, own, unused, words
 from stratalens.staging import stage
 
 #: Words of a window, the share of them that must be equal, and the masks.
@@ -99,5 +99,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item."""
     bad = fitting(stage(hits(docs, benchmark).select("doc_id", "_key").distinct(), "leaks"))
-    bad = bad.select(F.col("doc_id").alias("_doc"), F.col("_key").alias("_bad"))
-    return docs.withColumn("_key", key()).join(bad, (F.col("_key") == F.col("_bad")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti").select(docs.columns)
+    at, doc, text = (unused(docs, name) for name in ("_at", "_doc", "_bad"))
+    bad = bad.select(F.col("doc_id").alias(doc), F.col("_key").alias(text))
+    return docs.withColumn(at, key()).join(bad, (F.col(at) == F.col(text)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left_anti").select(own(docs))

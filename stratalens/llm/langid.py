@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from stratalens.llm.common import bucket, pieces
+from stratalens.llm.common import bucket, pieces, unused
 
 #: n-grams in a profile, and in the ranking of a document.
 PROFILE = 400
@@ -191,7 +191,14 @@ def identify(docs: DataFrame, training: Column, size: int = PROFILE) -> DataFram
     """docs with lang_pred and score, learned from the rows where training is true."""
     predict = predictor(profiles(docs.filter(training), size), size)
     found = predict(F.col("text"))
-    return docs.withColumn("_found", found).withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    at = unused(docs, "_found")
+    return docs.withColumn(at, found).withColumns({"lang_pred": F.col(at)["lang_pred"], "score": F.col(at)["score"]}).drop(at)
+
+
+def in_known_language(docs: DataFrame, training: Column, size: int = PROFILE) -> DataFrame:
+    """The rows of docs in which a language can be told, learned from the rows where training is true; columns stay as they are."""
+    predict, at = predictor(profiles(docs.filter(training), size), size), unused(docs, "_found")
+    return docs.withColumn(at, predict(F.col("text"))).filter(F.col(at)["lang_pred"] != "und").drop(at)
 
 
 def languages(docs: DataFrame) -> DataFrame:

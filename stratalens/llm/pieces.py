@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalens.llm.common import pieces as slices
+from stratalens.llm.common import pieces as slices, unused
 
 #: SentencePiece's mark for a space, as its models have it.
 SPACE = "▁"
@@ -194,8 +194,9 @@ def encoder(model: bytes, with_ids: bool = False):
 def tokenize(docs: DataFrame, model: bytes, with_ids: bool = False) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256 in place of the text, and ids if asked for."""
     fields = [f.name for f in (WITH_IDS if with_ids else DIGESTS)]
-    found = docs.withColumn("_found", encoder(model, with_ids)(F.col("text")))
-    return found.withColumns({c: F.col(f"_found.{c}") for c in fields}).drop("_found", "text")
+    at = unused(docs, "_found")
+    found = docs.withColumn(at, encoder(model, with_ids)(F.col("text")))
+    return found.withColumns({c: F.col(at)[c] for c in fields}).drop(at, "text")
 
 
 def model_bytes(path: str) -> bytes:

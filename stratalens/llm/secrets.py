@@ -5,8 +5,8 @@ versions, were run over it, and the lengths of matches and of what lies between
 version that no earlier run has seen, so copies, unchanged files and renamed paths cost a hash. A run's rows are written in one commit; a
 run that fails leaves nothing, and its pairs are scanned by the next. Findings are joined back to every path that has the blob.
 
-Defined results: a null text is the empty text, which has no findings. Repeated rows each give a row. Names of other columns don't matter:
-columns made here start with an underscore. A blob's matches meet in one window, no other group is held together.
+Defined results: a null text is the empty text, which has no findings. Repeated rows each give a row. Other columns are left alone, whatever
+their names: columns made beside them take names that are free. A blob's matches meet in one window, no other group is held together.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratalens.llm.common import fitting
+from stratalens.llm.common import fitting, own, unused
 from stratalens.staging import shared_folder
 
 
@@ -144,9 +144,10 @@ def digests(docs: DataFrame, ledger: str) -> DataFrame:
 
 def redact(docs: DataFrame, ledger: str, size: str | None = None) -> DataFrame:
     """docs with every finding in text replaced and, if named, the column size set to the new length; other rows stay as they are."""
-    found = findings(scan(docs, ledger))
-    with_blob = docs.withColumn("_blob", blob())
-    affected = fitting(found.select("_blob").distinct())
+    address, hits = unused(docs, "_blob"), unused(docs, "_hits")
+    found = findings(scan(docs, ledger)).withColumnRenamed("_blob", address)
+    with_blob = docs.withColumn(address, blob())
+    affected = fitting(found.select(address).distinct())
     state = "struct<at: bigint, out: string>"
 
     def step(acc: Column, x: Column) -> Column:
@@ -155,8 +156,9 @@ def redact(docs: DataFrame, ledger: str, size: str | None = None) -> DataFrame:
         return F.when(x["start"] < acc["at"], skip).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], kept, F.lit(REDACTED)).alias("out")))
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")).cast(state)
-    masked = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    secret = with_blob.join(affected, "_blob", "left_semi").join(by_blob(found), "_blob").withColumn("text", masked)
+    masked = F.aggregate(hits, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+    every = by_blob(found.withColumnRenamed(address, "_blob")).withColumnsRenamed({"_blob": address, "found": hits})
+    secret = with_blob.join(affected, address, "left_semi").join(every, address).withColumn("text", masked)
     if size:
         secret = secret.withColumn(size, F.length("text").cast(docs.schema[size].dataType))
-    return with_blob.join(affected, "_blob", "left_anti").select(docs.columns).unionByName(secret.select(docs.columns))
+    return with_blob.join(affected, address, "left_anti").select(own(docs)).unionByName(secret.select(own(docs)))

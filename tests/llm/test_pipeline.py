@@ -52,3 +52,21 @@ def test_empty_tables(spark, folder, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").filter(F.lit(False)).write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+#: Names that stages or operators use for columns of their own, and awkward ones.
+OWN = ("_key", "_doc", "_bad", "_at", "_blob", "_hits", "found", "_found", "score", "lang_pred", "_nth", "_text", "words", "component_id", "n_shingles", "rank", "_SEEN", "a.b", "a`b")
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_columns_of_any_name_are_left_alone(spark, folder, number):
+    """Each stage on rows that carry the names it uses itself: the values of all columns come through."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id IS NOT NULL")
+    wide = docs.select("*", *[F.concat_ws("-", F.lit(name), "doc_id").alias(name) for name in OWN])
+    found = corpus_pipeline.STAGES[number][1](spark, wide, folder)
+    columns = [c for c in wide.columns if c != "text"] if number == 4 else wide.columns
+    assert found.columns[:len(columns)] == columns
+    plain = sorted(str(r.doc_id) for r in corpus_pipeline.STAGES[number][1](spark, docs, folder).collect())
+    rows = found.collect()
+    assert sorted(str(r.doc_id) for r in rows) == plain
+    assert all(r[columns.index(name)] == f"{name}-{r.doc_id}" for r in rows for name in OWN)
