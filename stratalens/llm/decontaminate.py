@@ -4,9 +4,10 @@ A seed is a fixed mask over consecutive words: the hash takes the words where th
 items are joined with the seeds of all documents; each hit names a document, an item and how far one is shifted against the other. Around
 a hit the words of both are then held against each other at that shift, so substituted words are tolerated. A document is contaminated if
 in some WINDOW consecutive words of an item at least PERCENT of 100 are equal; an item with fewer words must occur whole. The two masks
-between them hit every window with as many substitutions as that allows (a test goes through all of them), so no overlap is missed.
+between them hit every window with as many substitutions as that allows (a test goes through all of them), so no overlap is missed. Items
+shorter than the masks have a mask of their own length, which documents use only if there is such an item.
 
-Defined results: null texts have no words; items of fewer words than a mask's weight match nothing; words are compared with A-Z in lower
+Defined results: null texts have no words, and an item without words matches nothing; words are compared with A-Z in lower
 case. An item or document that is repeated counts once for each id. Null ids match like others and are kept apart by their texts. The seeds
 of the benchmark are broadcast up to a counted size and joined by a shuffle beyond it. Columns of any other names are left alone.
 """
@@ -31,35 +32,35 @@ def key() -> Column:
     return F.xxhash64("doc_id", "text").alias("_key")
 
 
-def seeds(hashes: Column) -> Column:
+def seeds(hashes: Column, masks: tuple[str, ...]) -> Column:
     """The seed of each mask at each place, mask after mask; hashes are those of the words."""
     found = []
-    for number, mask in enumerate(MASKS):
+    for mask in masks:
         places = F.sequence(F.lit(0), F.size(hashes) - len(mask))
-        found.append(F.when(F.size(hashes) >= len(mask), F.transform(places, masked(hashes, number))).otherwise(F.array().cast("array<bigint>")))
+        found.append(F.when(F.size(hashes) >= len(mask), F.transform(places, masked(hashes, mask))).otherwise(F.array().cast("array<bigint>")))
     return F.concat(*found)
 
 
-def masked(hashes: Column, number: int) -> Callable[[Column], Column]:
-    taken = [i for i, x in enumerate(MASKS[number]) if x == "1"]
-    return lambda at: F.xxhash64(F.lit(number), *[hashes[at + i] for i in taken])
+def masked(hashes: Column, mask: str) -> Callable[[Column], Column]:
+    taken = [i for i, x in enumerate(mask) if x == "1"]
+    return lambda at: F.xxhash64(F.lit(int(mask, 2)), *[hashes[at + i] for i in taken])
 
 
-def place(number: Column, n: Column) -> Column:
+def place(number: Column, n: Column, masks: tuple[str, ...]) -> Column:
     """The word at which the seed of that number starts, in a text of n words."""
     before, at = F.lit(0), None
-    for mask in MASKS:
+    for mask in masks:
         own = F.when((number >= before), number - before)
         at = own if at is None else F.coalesce(own, at)
         before = before + F.greatest(n - (len(mask) - 1), F.lit(0))
     return at
 
 
-def seeded(rows: DataFrame, *columns: str) -> DataFrame:
+def seeded(rows: DataFrame, masks: tuple[str, ...], *columns: str) -> DataFrame:
     """A row for each seed of rows with an array of words: the columns, the seed and its place."""
     hashed = rows.select(*columns, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    each = hashed.select(*columns, F.size("hashes").alias("n"), F.posexplode(seeds(F.col("hashes"))).alias("number", "seed"))
-    return each.select(*columns, "seed", place(F.col("number"), F.col("n")).alias("at"))
+    each = hashed.select(*columns, F.size("hashes").alias("n"), F.posexplode(seeds(F.col("hashes"), masks)).alias("number", "seed"))
+    return each.select(*columns, "seed", place(F.col("number"), F.col("n"), masks).alias("at"))
 
 
 def overlap(doc: Column, item: Column, shift: Column) -> Column:
@@ -78,9 +79,14 @@ def overlap(doc: Column, item: Column, shift: Column) -> Column:
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, _key, item_id, n_equal, n_words and start (word in the document) of the best window of each item that a document holds."""
     items = stage(benchmark.select("item_id", words(F.col("text")).alias("words")).distinct(), "items")
-    known = stage(seeded(items, "item_id").select("seed", "item_id", F.col("at").alias("item_at")), "seeds")
+    size, least = F.size("words"), min(map(len, MASKS))
+    short = sorted(r["n"] for r in items.filter((size > 0) & (size < least)).select(size.alias("n")).distinct().collect())
+    known = seeded(items.filter(size >= least), MASKS, "item_id")
+    for n in short:
+        known = known.unionByName(seeded(items.filter(size == n), ("1" * n,), "item_id"))
+    known = stage(known.select("seed", "item_id", F.col("at").alias("item_at")), "seeds")
     texts = docs.select("doc_id", key(), words(F.col("text")).alias("words"))
-    found = seeded(texts, "doc_id", "_key").join(fitting(known), "seed")
+    found = seeded(texts, (*MASKS, *["1" * n for n in short]), "doc_id", "_key").join(fitting(known), "seed")
     found = stage(found.select("doc_id", "_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
     # only documents with a hit are read again
     near = docs.select("doc_id", "text", key()).join(fitting(found.select("_key").distinct()), "_key", "left_semi")

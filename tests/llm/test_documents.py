@@ -203,7 +203,7 @@ def test_masks_find_every_tolerated_window():
 
 def test_decontamination(spark):
     rng = random.Random(5)
-    items = [[f"b{rng.randint(0, 400)}" for _ in range(n)] for n in (30, 13, 20, 8, 5, 4, 13)] + [[]]
+    items = [[f"b{rng.randint(0, 400)}" for _ in range(n)] for n in (30, 13, 20, 8, 5, 4, 13, 2, 1)] + [[]]
     texts = []
     for item in items:
         for changed in (0, 1, 2, 3, 4):
@@ -217,7 +217,7 @@ def test_decontamination(spark):
 
     def holds(text, item):
         w, m = words(text), len(item)
-        if m < 5:
+        if not m:
             return False
         width, need = min(m, 13), m if m < 13 else 11
         return any(sum(a == b for a, b in zip(item[j:j + width], w[k:k + width], strict=False)) >= need for j in range(m - width + 1) for k in range(len(w) - width + 1))
