@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from stratalens.staging import together
 from stratalens.types import GRAIN_NAME, col, dateish, is_measure_type, keyish
 
 # Share of distinct rows that counts as nearly unique, average length above which a text column is prose.
 NEARLY, LONG_TEXT = 0.999, 60
-# Combinations in one job: of sketches, and of exact counts.
-SKETCHED, COUNTED = 200, 16
-SLICES = 16
-SKETCH_BITS, SKETCH_MARGIN = 14, 0.05      # of distinct-count sketches, and six of their standard errors
+# Combinations counted in one job, and rows on which combinations are searched before they are counted on all.
+COUNTED, SAMPLE_ROWS = 16, 10_000
 
 
 def column_infos(profiled: DataFrame, schema: str, table: str) -> list[dict]:
@@ -41,15 +39,19 @@ def is_prose(info: dict) -> bool:
 
 
 def grain_candidates(infos: list[dict]) -> list[dict]:
-    """Columns that can be part of a composite grain, most promising first."""
-    usable = [
-        i for i in infos
-        if i["non_null"] == i["row_count"] and i["distinct_count"] > 1 and i["family"] != "other"
-        and not (i["family"] == "numeric" and is_measure_type(i["data_type"])) and not is_prose(i)
-    ]
-    telling = lambda n: keyish(n) or dateish(n) or bool(re.search(GRAIN_NAME, n))
-    usable.sort(key=lambda i: (not telling(i["column_name"]), -i["distinct_count"]))
-    return usable
+    """Columns that can be part of a composite grain: without nulls, more than one value, no amounts and no prose. Those whose name tells of
+    keys or dates come first, then those of more values."""
+    def place(info: dict) -> tuple[int, int]:
+        name = info["column_name"]
+        told = keyish(name) or dateish(name) or re.search(GRAIN_NAME, name) is not None
+        return 0 if told else 1, -info["distinct_count"]
+
+    def fit(info: dict) -> bool:
+        full, varied = info["non_null"] == info["row_count"], info["distinct_count"] > 1
+        amount = info["family"] == "numeric" and is_measure_type(info["data_type"])
+        return full and varied and info["family"] != "other" and not amount and not is_prose(info)
+
+    return sorted(filter(fit, infos), key=place)
 
 
 def count_combos(df: DataFrame, combos: list[list[str]]) -> list[int]:
@@ -58,65 +60,114 @@ def count_combos(df: DataFrame, combos: list[list[str]]) -> list[int]:
     return list(counts.first())
 
 
-def sketch_combos(df: DataFrame, combos: list[list[str]]) -> list[int]:
-    """Estimates of the distinct rows of every combination, by one sketch of each, all in one aggregate that a row passes once."""
-    sketches = [F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[x for c in combo for x in (col(c), col(c).isNull())]), F.lit(SKETCH_BITS))).alias(str(i))
-                for i, combo in enumerate(combos)]
-    return list(df.agg(*sketches).first())
-
-
-def likely_combos(df: DataFrame, combos: list[list[str]], rows: int) -> list[list[str]]:
-    """The combinations that can be nearly unique."""
-    return [c for c, n in zip(combos, sketch_combos(df, combos)) if n >= (NEARLY - SKETCH_MARGIN) * rows]
-
-
-def in_batches(f: Callable[[DataFrame, list[list[str]]], list[int]], df: DataFrame, combos: list[list[str]], size: int) -> list[int]:
-    return [n for i in range(0, len(combos), size) for n in f(df, combos[i:i + size])]
-
-
-def smallest_combos(df: DataFrame, distinct: dict[str, int], target: int) -> list[list[str]]:
-    """All combinations of the fewest columns, two at least, with as many distinct rows (target) as all columns together.
-
-    Level by level, without a limit of columns or levels. A combination has no more distinct rows than a part of it times
-    the rest, so most are ruled out by the estimates of the level before; a column without which the others tell clearly
-    fewer rows apart is in all of them."""
-    names, close = list(distinct), (1 - SKETCH_MARGIN) * target
-    others = [[c for c in names if c != n] for n in names]
-    needed = {n for n, d in zip(names, in_batches(sketch_combos, df, others, SKETCHED)) if d < close} if len(names) > 2 else set()
-    most: dict[tuple[str, ...], float] = {}        # upper bounds of the level before
-    for size in range(max(2, len(needed)), len(names) + 1):
-        bounds, combos = {}, []
-        free = [n for n in names if n not in needed]
-        for chosen in itertools.combinations(free, size - len(needed)):
-            combo = tuple(n for n in names if n in needed or n in chosen)
-            bound = math.prod(distinct[n] for n in combo)
-            for n in combo:
-                part = tuple(x for x in combo if x != n)
-                bound = min(bound, most.get(part, bound) * distinct[n])
-            bounds[combo] = bound
-            if bound >= target:
-                combos.append(combo)
-        estimates = dict(zip(combos, in_batches(sketch_combos, df, [list(c) for c in combos], SKETCHED)))
-        likely = [list(c) for c in combos if estimates[c] >= close]
-        found = [c for c, d in zip(likely, in_batches(count_combos, df, likely, COUNTED)) if d == target]
-        if found:
-            return found
-        most = {c: min(b, estimates[c] / (1 - SKETCH_MARGIN)) if c in estimates else b for c, b in bounds.items()}
-    return []
-
-
-def duplicates_in_slice(df: DataFrame, combos: list[list[str]], slices: int = SLICES) -> list[int]:
-    """Duplicate rows of each combination within one slice of its first column's values.
-
-    Rows that agree on the combination agree on its first column, so they are all in the slice or all out of it: every
-    duplicate found is one of the whole table, and a combination with too many is ruled out for certain."""
-    aggregates = []
-    for i, combo in enumerate(combos):
-        inside = F.pmod(F.xxhash64(col(combo[0])), F.lit(slices)) == 0
-        kept = [F.when(inside, col(c)) for c in combo]
-        aggregates += [F.count_if(inside).alias(f"rows{i}"), F.count_distinct(*kept).alias(f"distinct{i}")]
-    row = df.agg(*aggregates).first()
-    return [row[f"rows{i}"] - row[f"distinct{i}"] for i in range(len(combos))]
+class Search:
+    """Smallest sets of columns that tell all given rows apart, as smallest sets that meet every difference: of two rows, the columns in which
+    they differ. Differences are found as they are needed, from two rows that a set leaves together.
+
+    rows: distinct rows as numbers; distinct: values of each column, and target: rows to tell apart, both of the whole table."""
+
+    def __init__(self, rows: np.ndarray, distinct: list[int], target: int):
+        self.rows, self.distinct, self.target = rows, distinct, target
+        self.differences: list[frozenset[int]] = []
+        self.known: set[frozenset[int]] = set()
+        for c in range(rows.shape[1]):
+            self.differ(np.lexsort((rows[:, c], *[rows[:, x] for x in range(rows.shape[1]) if x != c])), None)
+
+    def add(self, rows: np.ndarray) -> None:
+        self.rows = np.unique(np.concatenate([self.rows, rows]), axis=0)
+
+    def differ(self, order: np.ndarray, group: np.ndarray | None) -> None:
+        """Notes how neighbours in this order differ (those of one group): the differences that hold no other."""
+        a, b = self.rows[order[:-1]], self.rows[order[1:]]
+        if group is not None:
+            same = group[order[:-1]] == group[order[1:]]
+            a, b = a[same], b[same]
+        masks = np.unique(a != b, axis=0)
+        for mask in masks[np.argsort(masks.sum(1), kind="stable")][:200]:
+            found = frozenset(np.flatnonzero(mask).tolist())
+            if found and found not in self.known and not any(d <= found for d in self.differences):
+                self.known.add(found)
+                self.differences.append(found)
+        self.differences.sort(key=len)
+
+    def groups(self, chosen: frozenset[int]) -> np.ndarray:
+        code = np.zeros(len(self.rows), np.int64)
+        for c in chosen:
+            code = np.unique(code * (int(self.rows[:, c].max()) + 1) + self.rows[:, c], return_inverse=True)[1].reshape(-1)
+        return code
+
+    def able(self, chosen: frozenset[int], out: frozenset[int], size: int, code: np.ndarray) -> bool:
+        """Whether columns of the largest numbers of values could split what is left, by their product."""
+        free = sorted((d for c, d in enumerate(self.distinct) if c not in chosen and c not in out), reverse=True)[:size - len(chosen)]
+        rest = math.prod(free)
+        return np.bincount(code).max(initial=0) <= rest and math.prod(self.distinct[c] for c in chosen) * rest >= self.target
+
+    def of_size(self, size: int) -> list[frozenset[int]]:
+        """All sets of up to that many columns that tell the rows apart; none of them is found twice."""
+        found = []
+
+        def go(chosen: frozenset[int], out: frozenset[int]) -> None:
+            code = self.groups(chosen)
+            if not self.able(chosen, out, size, code):
+                return
+            unmet = next((d for d in self.differences if not d & chosen), None)
+            if unmet is None:
+                if code.max(initial=-1) + 1 == len(self.rows):
+                    found.append(chosen)
+                    return
+                rest = [self.rows[:, c] for c in range(self.rows.shape[1]) if c not in chosen]
+                self.differ(np.lexsort((*rest, code)), code)
+                unmet = next(d for d in self.differences if not d & chosen)
+            if len(chosen) == size:
+                return
+            gone = out
+            for c in sorted(unmet - out):
+                go(chosen | {c}, gone)
+                gone = gone | {c}
+
+        go(frozenset(), frozenset())
+        return found
+
+    def smallest(self) -> list[tuple[int, ...]]:
+        for size in range(1, self.rows.shape[1] + 1):
+            if found := self.of_size(size):
+                return sorted(tuple(sorted(x)) for x in found)
+        return []
+
+
+def smallest_combos(df: DataFrame, distinct: dict[str, int], target: int, sample_rows: int = SAMPLE_ROWS) -> list[list[str]]:
+    """All combinations of the fewest columns with as many distinct rows (target) as all columns together, as many as there are.
+
+    Combinations are searched on a sample of bounded size and counted on the whole table. One that is not unique there gives rows it leaves
+    together; these join the sample, which rules it and many others out. What is returned has been counted, and what is not has two
+    rows of the table against it."""
+    names = list(distinct)
+    slices = max(1, target // sample_rows)
+    part = df.select(*[col(n) for n in names]).where(F.pmod(F.xxhash64(*[col(n) for n in names]), F.lit(slices)) == 0)
+    numbers: list[dict] = [{} for _ in names]
+
+    def coded(rows: list[Row]) -> np.ndarray:
+        out = [[known.setdefault(v, len(known)) for known, v in zip(numbers, row, strict=True)] for row in rows]
+        return np.unique(np.array(out, np.int64).reshape(-1, len(names)), axis=0)
+
+    search = Search(coded(part.limit(2 * sample_rows).collect()), list(distinct.values()), target)
+    counted: dict[tuple[int, ...], int] = {}
+    while True:
+        found = search.smallest()
+        fresh = [c for c in found if c not in counted][:COUNTED]
+        if not fresh:
+            return [[names[i] for i in c] for c in found]
+        counted |= dict(zip(fresh, count_combos(df, [[names[i] for i in c] for c in fresh]), strict=True))
+        failed = [c for c in fresh if counted[c] < target]
+        for rows in together(*[lambda c=c: left_together(df, names, [names[i] for i in c]) for c in failed]):
+            search.add(coded(rows))
+
+
+def left_together(df: DataFrame, names: list[str], combo: list[str], groups: int = 50) -> list[Row]:
+    """Rows that differ and agree on the combination: two of each of some groups."""
+    every = F.struct(*[col(n) for n in names])
+    pairs = df.groupBy(*[col(c) for c in combo]).agg(F.min(every).alias("a"), F.max(every).alias("b")).where("a <> b").limit(groups)
+    return [r["x"] for r in pairs.select(F.explode(F.array("a", "b")).alias("x")).collect()]
 
 
 def find_grain(df: DataFrame, infos: list[dict], most: int | None = None) -> list[dict]:

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -42,15 +43,53 @@ def test_key_check_with_nulls(spark):
     assert tuple(summary.first()) == (5, 2, 2, False) and [tuple(r) for r in examples.collect()] == [("a", 2)]
 
 
+def smallest_by_hand(rows):
+    """All smallest sets of columns that tell the rows apart, by trying all."""
+    whole = len(np.unique(rows, axis=0))
+    for size in range(1, rows.shape[1] + 1):
+        found = [c for c in itertools.combinations(range(rows.shape[1]), size) if len(np.unique(rows[:, c], axis=0)) == whole]
+        if found:
+            return found
+    return []
+
+
+def test_smallest_sets_are_those_of_all_sets():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        columns, n = rng.integers(2, 11), rng.integers(2, 60)
+        rows = np.unique(rng.integers(0, rng.integers(2, 5, columns), (n, columns)), axis=0)
+        distinct = [len(np.unique(rows[:, c])) for c in range(columns)]
+        assert grain.Search(rows, distinct, len(rows)).smallest() == smallest_by_hand(rows)
+
+
+def test_a_key_of_eleven_among_forty_columns():
+    rng = np.random.default_rng(2)
+    bits = (np.arange(2048)[:, None] >> np.arange(11)) & 1
+    order = rng.permutation(40)
+    rows = np.concatenate([bits, rng.integers(0, 2, (2048, 29))], 1)[:, order]
+    assert grain.Search(rows, [2] * 40, 2048).smallest() == [tuple(sorted(np.flatnonzero(order < 11).tolist()))]
+
+
+def test_combinations_hold_on_the_whole_table(spark):
+    """A sample of a few rows proposes combinations that the whole table refutes; what is left is what trying all gives."""
+    rng = random.Random(4)
+    data = [(i % 30, i // 30 % 20, i // 600, rng.randint(0, 400), rng.randint(0, 400), "x" * (i % 3)) for i in range(2400)]
+    names = ["a", "b", "c", "d", "e", "f"]
+    df = spark.createDataFrame([*data, data[0]], "a int, b int, c int, d int, e int, f string")
+    rows = np.array([[*r[:5], len(r[5])] for r in data])
+    distinct = {n: len(np.unique(rows[:, i])) for i, n in enumerate(names)}
+    expected = [[names[i] for i in c] for c in smallest_by_hand(rows)]
+    for sample in (10, 100, 10_000):
+        assert grain.smallest_combos(df, distinct, 2400, sample) == expected
+    pair = grain.left_together(df, names, ["a", "b"])
+    assert pair and all(sum((r["a"], r["b"]) == (x["a"], x["b"]) for x in pair) > 1 for r in pair)
+
+
 def test_grain(spark):
     rows = [(i // 4, i % 4, i % 7, "c") for i in range(400)]
     df = spark.createDataFrame(rows, "customer_id int, channel int, noise int, fixed string")
     infos = grain.column_infos(profile({"t": df}), "main", "t")
     assert grain.find_grain(df, infos)[0]["combo"] == ["customer_id", "channel"]
-    # sketches leave out no combination that is nearly unique
-    combos = [["customer_id", "channel"], ["customer_id", "noise"], ["channel", "noise"]]
-    exact = [c for c, n in zip(combos, grain.count_combos(df, combos), strict=True) if n >= 0.999 * 400]
-    assert set(map(tuple, exact)) <= set(map(tuple, grain.likely_combos(df, combos, 400)))
     near = df.union(df.limit(0)).union(spark.createDataFrame([(0, 0, 99, "c")], df.schema))
     found = grain.find_grain(near, grain.column_infos(profile({"t": near}), "main", "t"))
     assert found and not found[0]["dup_rows"] or found[0]["near"]
