@@ -165,9 +165,10 @@ def smallest_combos(df: DataFrame, distinct: dict[str, int], target: int, sample
 
 def left_together(df: DataFrame, names: list[str], combo: list[str], groups: int = 50) -> list[Row]:
     """Rows that differ and agree on the combination: two of each of some groups."""
-    every = F.struct(*[col(n) for n in names])
-    pairs = df.groupBy(*[col(c) for c in combo]).agg(F.min(every).alias("a"), F.max(every).alias("b")).where("a <> b").limit(groups)
-    return [r["x"] for r in pairs.select(F.explode(F.array("a", "b")).alias("x")).collect()]
+    rows = df.select(F.struct(*[col(n) for n in names]).alias("row"))
+    keys = [F.col("row")[c].alias(f"key{i}") for i, c in enumerate(combo)]
+    pairs = rows.groupBy(*keys).agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first <> last").limit(groups)
+    return [r["row"] for r in pairs.select(F.explode(F.array("first", "last")).alias("row")).collect()]
 
 
 def find_grain(df: DataFrame, infos: list[dict], most: int | None = None) -> list[dict]:
