@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from stratalens.llm.common import bucket, pieces, unused
+from stratalens.llm.common import bucket, pieces, tidied, unused
 
 #: n-grams in a profile, and in the ranking of a document.
 PROFILE = 400
@@ -93,6 +93,7 @@ def count_grams(texts: list[str]) -> dict[str, int]:
 def profiles(docs: DataFrame, size: int = PROFILE) -> dict[str, list[str]]:
     """The most frequent n-grams of each language of docs (text, lang), in order; ties by n-gram."""
 
+    @tidied
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, rows in batch.groupby("lang", sort=True):
@@ -172,6 +173,7 @@ def predictor(grams: dict[str, list[str]], size: int = PROFILE):
     built: list[Profiles] = []
 
     @F.pandas_udf(RESULT)
+    @tidied
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if not built and grams:
             built.append(Profiles(grams, size))

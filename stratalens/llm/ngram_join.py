@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratalens.llm.common import fitting, pieces
+from stratalens.llm.common import fitting, pieces, tidied
 from stratalens.operators.graph import connected_components
 from stratalens.staging import stage
 
@@ -129,6 +129,7 @@ def cell(hashes: np.ndarray, bits: int) -> np.ndarray:
 def sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     """For each cell a level: how many times, as a power of two, it holds more than the mean cell. Its size is fixed by bits."""
 
+    @tidied
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, elements = np.zeros(1 << bits, np.uint16), 0
 
@@ -180,6 +181,7 @@ def signatures(docs: DataFrame, levels: np.ndarray, percent: int = PERCENT) -> D
     bits = int(len(levels)).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
+    @tidied
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, sets in in_chunks(batches):
             out = []
@@ -215,6 +217,7 @@ def first_pairs(buckets: DataFrame, percent: int) -> DataFrame:
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and its set as bytes, for nodes (node, set_id); computed again from the text."""
 
+    @tidied
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, sets in in_chunks(batches):
             yield pd.DataFrame({"node": rows["doc_id"].to_numpy(), "set_id": [set_id(s) for s in sets], "elements": [s.tobytes() for s in sets]})

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalens.llm.common import pieces as slices, unused
+from stratalens.llm.common import pieces as slices, tidied, unused
 
 #: SentencePiece's mark for a space, as its models have it.
 SPACE = "▁"
@@ -175,6 +175,7 @@ def encoder(model: bytes, with_ids: bool = False):
     built: list[PrefixTable] = []
 
     @F.pandas_udf(WITH_IDS if with_ids else DIGESTS)
+    @tidied
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if not built:
             built.append(PrefixTable(model))
