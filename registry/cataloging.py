@@ -13,7 +13,9 @@ from stratalens.operators import export as X
 from stratalens.operators import grain as G
 from stratalens.operators.profile import count_values, profile, table_profile
 from stratalens.operators.relate import discover_relationships
+from stratalens.plans import pipeline
 from stratalens.plans.analysis import analyse
+from stratalens.plans.store import Store
 from stratalens.sources import loading, readers, sampling
 from stratalens.staging import shared_folder, stage
 
@@ -408,6 +410,38 @@ def analysis_run(spark, sf):
     return out
 
 
+_FIRST, _CHANGED = ("orders", "customer", "region"), "nation"
+_SCHEMA = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+           "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "region": ["r_regionkey", "r_name"],
+           "nation": ["n_nationkey", "n_name", "n_regionkey"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]}
+
+
+def _pipeline_sql() -> str:
+    """After both runs: a row for each column, its counts, and the version that worked on its table."""
+    rows = []
+    for t, names in _SCHEMA.items():
+        version, where = (1, "") if t in _FIRST else (2, " WHERE n_nationkey <> 3" if t == _CHANGED else "")
+        rows += [f"SELECT '{t}' AS table_name, '{c}' AS column_name, {version}::BIGINT AS since, count(*) AS row_count, count(DISTINCT {c}) AS distinct_count FROM {t}{where}" for c in names]
+    return union_sql(rows)
+
+
+def _chain(spark, sf) -> Store:
+    """Two runs of the chain: all tables but one, then one of them changed, one gone and one new."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    named = {t: df.select(*_SCHEMA[t]) for t, df in tables(spark, sf, *_FIRST, _CHANGED).items()}
+    gone = {"part": table(spark, sf, "part")}
+    pipeline.run(store, named | gone)
+    changed = {**named, _CHANGED: named[_CHANGED].where("n_nationkey <> 3"), "supplier": table(spark, sf, "supplier").select(*_SCHEMA["supplier"])}
+    pipeline.run(store, changed)
+    return store
+
+
+@query("pipeline_run", _pipeline_sql())
+def pipeline_run(spark, sf):
+    """The chain run twice; the second run works on what has changed."""
+    return _chain(spark, sf).read("columns").select("table_name", "column_name", "since", "row_count", "distinct_count")
+
+
 @query("grain_of_key", "SELECT 'o_orderkey' AS combo, count(*) AS distinct_rows, 0::BIGINT AS dup_rows FROM orders")
 def grain_of_key(spark, sf):
     """A table with a single-column key."""
