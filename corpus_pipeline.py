@@ -19,15 +19,26 @@ from stratalens.llm.queries import public_model
 from stratalens.staging import shared_folder, stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Rows that go to a Python worker at once: whole texts, of which Spark's default of 10,000 would take much memory on both sides.
+ROWS_AT_ONCE = 2_000
+
+
+def whole_texts(spark: SparkSession) -> None:
+    """Lets the session send no more than ROWS_AT_ONCE rows to a Python worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_AT_ONCE:
+        spark.conf.set(key, str(ROWS_AT_ONCE))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told; those without a letter or a text go."""
+    whole_texts(spark)
     return langid.in_known_language(docs, bucket("doc_id", 3) != 1)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar texts, directly or through others, the one with the smallest id stays, once."""
+    whole_texts(spark)
     found = stage(ngram_join.classes(docs.select("doc_id", "text")), "classes")
     dropped = fitting(stage(found.filter("doc_id <> component_id").select("doc_id").distinct(), "dropped"))
     # ids that stand on several rows are rare; only these are ranked
@@ -50,6 +61,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document in place of its text, with digests of the ids and of what they decode to."""
+    whole_texts(spark)
     return pieces.tokenize(docs, pieces.model_bytes(public_model()), with_ids=True)
 
 
