@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratalens.operators.grain import is_measure, is_prose
 from stratalens.operators.graph import connected_components
-from stratalens.types import KEYISH_NAME, col, keyish
+from stratalens.types import KEYISH_NAME, col
 
 # Share of rows that must agree, share of one value above which a column says nothing.
 MIN_STRENGTH, TOP_SHARE = 0.98, 0.95
@@ -26,20 +26,22 @@ def _top_share(info: dict) -> float:
 
 def dependency_pairs(infos: list[dict]) -> list[tuple[dict, list[dict]]]:
     """(determinant, its candidate dependents) worth testing, from profile rows."""
-    usable = [i for i in infos
-              if i["family"] != "other" and not {"all_null", "constant"} & set(i["flags"]) and not is_prose(i)]
-    determinants = [i for i in usable if 2 <= i["distinct_count"] <= i["non_null"] / 2
-                    and i["family"] not in ("temporal", "bool") and not is_measure(i)]
-    determinants.sort(key=lambda i: (not keyish(i["column_name"]), -i["distinct_count"]))
-    out = []
-    for x in determinants:
-        most = max(2 * x["distinct_count"], x["distinct_count"] + 20)
-        dependents = [y for y in usable if y is not x and 1 < y["distinct_count"] <= most and not is_measure(y)
-                      and _top_share(y) < TOP_SHARE]
-        dependents.sort(key=lambda y: (not keyish(y["column_name"]), y["distinct_count"]))
-        if dependents:
-            out.append((x, dependents))
-    return out
+    tell = {i["column_name"]: i for i in infos if _tells(i)}
+    sources = {n for n, i in tell.items() if i["family"] not in ("temporal", "bool") and 2 * i["distinct_count"] <= i["non_null"]}
+    goals = {n for n, i in tell.items() if _top_share(i) < TOP_SHARE}
+    kept = {x: [tell[y] for y in tell if y in goals - {x} and tell[y]["distinct_count"] <= _room(tell[x]["distinct_count"])] for x in tell if x in sources}
+    return [(tell[x], found) for x, found in kept.items() if found]
+
+
+def _tells(info: dict) -> bool:
+    """A column of several values that are neither amounts nor prose."""
+    barred = {"all_null", "constant"}.intersection(info["flags"])
+    return info["distinct_count"] > 1 and info["family"] != "other" and not (barred or is_prose(info) or is_measure(info))
+
+
+def _room(values: int) -> int:
+    """How many values a column may have that one of so many values could determine, dirt included."""
+    return values + max(values, 20)
 
 
 def pair_agreement(df: DataFrame, pairs: list[tuple[str, list[str]]], slices: int = 1) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from stratalens.operators.codes import is_code
 from stratalens.staging import together
 from stratalens.types import GRAIN_NAME, col, dateish, is_measure_type, keyish
 
@@ -22,7 +23,7 @@ def column_infos(profiled: DataFrame, schema: str, table: str) -> list[dict]:
     """Profile rows of one table (one per column), in column order: what the driver plans the next jobs from."""
     rows = profiled.where((F.col("schema_name") == schema) & (F.col("table_name") == table)).orderBy("ordinal").select(
         "column_name", "data_type", "family", "row_count", "non_null", "distinct_count", "avg_len", "ordinal", "flags",
-        "hint_type", "date_formats", "effective_null_pct", F.expr("get(top_values, 0).n").alias("top_n"))
+        "hint_type", "date_formats", "effective_null_pct", F.expr("get(top_values, 0).n").alias("top_n"), is_code().alias("code_list"))
     return [r.asDict(recursive=True) for r in rows.collect()]
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.functions.values import filled
-from stratalens.operators.codes import is_code_list
 from stratalens.operators.graph import connected_components
 from stratalens.types import col
 
@@ -32,7 +31,7 @@ def optional_columns(infos: list[dict]) -> list[str]:
 
 
 def explaining_columns(infos: list[dict]) -> list[str]:
-    found = [i for i in infos if is_code_list(i) and i["distinct_count"] <= MAX_CODES]
+    found = [i for i in infos if i["code_list"] and i["distinct_count"] <= MAX_CODES]
     found.sort(key=lambda i: i["distinct_count"])
     return [i["column_name"] for i in found]
 

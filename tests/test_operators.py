@@ -1,5 +1,6 @@
 """Operators against brute force or planted truths on small data."""
 
+import collections
 import itertools
 import random
 
@@ -8,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.functions.similarity import jaro_winkler, jaro_winkler_pairs
+from stratalens.functions.similarity import jaro_winkler, jaro_winkler_pairs, partial_ratio
 from stratalens.operators import catalog as K
 from stratalens.operators import codes, compare, dependencies, duplicates, grain, lookup, optional, relate, rules
 from stratalens.operators.graph import connected_components
@@ -315,9 +316,34 @@ def test_load_keeps_going(spark, tmp_path):
     assert rows["good"]["row_count"] == 2 and rows["good_2"]["row_count"] == 3 and rows["bad"]["error"] and len(tables) == 2
 
 
-def test_fuzzy_search_scores():
-    assert K.fuzzy_score("reservationid", "reservation_id") == 100 and K.fuzzy_score("reservaton", "reservation_id") >= 72
-    assert K.fuzzy_score("guest", "amount") < 72 and K.fuzzy_text_score("birth date", "Date of birth of the guest") >= 72
+def test_fuzzy_search_scores(spark):
+    one = spark.createDataFrame([("reservation_id", "amount", "Date of birth of the guest", "guestbirthdate", None, "see reservaton, or not")], "a string, b string, c string, d string, e string, f string")
+
+    def score(kind, term, name):
+        return one.select(kind(term, F.col(name))).first()[0]
+
+    assert score(K.fuzzy_name, "reservationid", "a") == 100 and score(K.fuzzy_name, "reservation", "a") == 95 and score(K.fuzzy_name, "reservaton", "a") >= 72
+    assert score(K.fuzzy_name, "guest", "b") < 72 and score(K.fuzzy_name, "date birth", "d") == 86 and score(K.fuzzy_name, "date", "e") == 0 and score(K.fuzzy_name, "-", "a") == 0
+    # spellings: the ratio of 13 and 14 letters with 12 in common, and a part of the name
+    assert score(K.fuzzy_name, "resrvationid", "a") == round(0.9 * 200 * 12 / 25, 1) and score(K.fuzzy_name, "servaton", "a") == round(0.9 * max(200 * 8 / 21, 0.88 * partial_ratio("servaton", "reservationid")), 1)
+    assert score(K.fuzzy_text, "birth date", "c") == 82 and score(K.fuzzy_text, "birth of", "c") == 85 and score(K.fuzzy_text, "of", "c") == 0
+    assert score(K.fuzzy_text, "reservation", "f") == 0.9 * round(0.9 * 200 * 10 / 21, 1) and score(K.fuzzy_text, "guest", "e") == 0
+
+
+def test_pair_counts_against_all_pairs(spark):
+    rng = random.Random(6)
+    columns = {i: [rng.randint(0, 12 + 3 * i) for _ in range(rng.choice([0, 1, 30, 60]))] for i in range(7)}
+    freq = [(i, str(v), n) for i, vs in columns.items() for v, n in collections.Counter(vs).items()]
+    pairs = [(a, b) for a in columns for b in columns if a != b and rng.random() < 0.6]
+    found = relate.pair_counts(spark.createDataFrame(freq, "col_id int, value string, n long"), spark.createDataFrame([*pairs, pairs[0]], "from_id int, to_id int"))
+    expected = {}
+    for a, b in pairs:
+        x, y = collections.Counter(columns[a]), collections.Counter(columns[b])
+        both = [x[v] for v in x if v in y]
+        if x or y:
+            expected[a, b] = (len(x), x.total(), len(y), max(y.values(), default=None), len(both), sum(both), max(both, default=None))
+    assert {(r["from_id"], r["to_id"]): tuple(r[c] for c in ("child_values", "child_rows", "parent_values", "parent_most", "matched", "matched_rows", "matched_most"))
+            for r in found.collect()} == expected
 
 
 def test_analysis_suggests_rules_that_hold(spark, sf):
