@@ -175,7 +175,7 @@ def dependency_agreement(spark, sf):
     """Agreement of pairs of columns, and that one slice never has more exceptions than the whole table."""
     df = view(spark, sf, "flat_orders")
     pairs = [(x, ["n_name", "r_name", "c_mktsegment"]) for x in ("c_custkey", "n_nationkey", "r_regionkey")]
-    sliced = D.pair_agreement(df, pairs, 4).select("determinant", "dependent", (F.col("checked") - F.col("agreeing")).alias("part"))
+    sliced = D.pair_agreement(df, pairs, range(1), 4).select("determinant", "dependent", (F.col("checked") - F.col("agreeing")).alias("part"))
     return D.pair_agreement(df, pairs).join(sliced, ["determinant", "dependent"], "left").select(
         "determinant", "dependent", "agreeing", "checked",
         (F.coalesce("part", F.lit(0)) <= F.col("checked") - F.col("agreeing")).alias("within"))

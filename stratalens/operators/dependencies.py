@@ -12,6 +12,9 @@ from stratalens.types import KEYISH_NAME, col
 
 # Share of rows that must agree, share of one value above which a column says nothing.
 MIN_STRENGTH, TOP_SHARE = 0.98, 0.95
+# Slices of the determinant's values, and which of them are looked at together, one after another.
+SLICES = 64
+PARTS = (range(1), range(1, 8), range(8, SLICES))
 NAME_SUFFIX = r"(?i)(_?(id|key|code|no|num|nbr|number|cd|ref|name|nm|desc|description|label))$"
 
 EDGE_SCHEMA = ("determinant string, dependent string, strength double, exceptions bigint, rows_checked bigint, "
@@ -44,40 +47,59 @@ def _room(values: int) -> int:
     return values + max(values, 20)
 
 
-def pair_agreement(df: DataFrame, pairs: list[tuple[str, list[str]]], slices: int = 1) -> DataFrame:
+def pair_agreement(df: DataFrame, pairs: list[tuple[str, list[str]]], part: range = range(1), of: int = 1) -> DataFrame:
     """(determinant, dependent, agreeing, checked): rows that have the most common Y of their X, and rows with an X.
 
     All pairs in one scan: counts per (pair, X, Y), then the largest count per (pair, X). Both steps combine before
-    their shuffle, so a value on a third of the rows is one row per task. slices > 1 looks at one slice of X values."""
+    their shuffle, so a value on a third of the rows is one row per task. A row gives one row for each wanted pair and no other.
+    part, of: of so many slices of the X values, those to look at."""
     xs, ys = [x for x, _ in pairs], list(dict.fromkeys(y for _, own in pairs for y in own))
-    wanted = F.array(*[F.array(*[F.lit(ys.index(y)) for y in own]) for _, own in pairs])
-    texts = df.select(F.array(*[col(x).cast("string") for x in xs]).alias("xs"), F.array(*[col(y).cast("string") for y in ys]).alias("ys"))
-    by_x = texts.select("ys", F.posexplode("xs").alias("i", "_x")).where("_x IS NOT NULL")
-    if slices > 1:
-        by_x = by_x.where(F.pmod(F.xxhash64("_x"), F.lit(slices)) == 0)
-    long = by_x.select("i", "_x", F.posexplode("ys").alias("j", "_y")).where(F.array_contains(F.element_at(wanted, F.col("i") + 1), F.col("j")))
+    each = []
+    for i, (x, own) in enumerate(pairs):
+        value = col(x).cast("string")
+        inside = F.pmod(F.xxhash64(value), F.lit(of)).between(part.start, part.stop - 1)
+        with_ys = F.array(*[F.struct(F.lit(ys.index(y)).alias("j"), col(y).cast("string").alias("y")) for y in own])
+        each.append(F.when(value.isNotNull() & inside, F.struct(F.lit(i).alias("i"), value.alias("x"), with_ys.alias("own"))))
+    long = df.select(F.explode(F.array_compact(F.array(*each))).alias("e")).select("e.i", "e.x", F.explode("e.own").alias("o")).select("i", "x", "o.j", "o.y")
     named = lambda names, at: F.element_at(F.array(*[F.lit(n) for n in names]), F.col(at) + 1)
-    per_value = long.groupBy("i", "j", "_x", "_y").agg(F.count(F.lit(1)).alias("n"))
-    per_x = per_value.groupBy("i", "j", "_x").agg(F.max("n").alias("top"), F.sum("n").alias("all"))
+    per_value = long.groupBy("i", "j", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    per_x = per_value.groupBy("i", "j", "x").agg(F.max("n").alias("top"), F.sum("n").alias("all"))
     return per_x.groupBy("i", "j").agg(F.sum("top").alias("agreeing"), F.sum("all").alias("checked")).select(
         named(xs, "i").alias("determinant"), named(ys, "j").alias("dependent"), "agreeing", "checked")
 
 
+def lasting_pairs(df: DataFrame, pairs: list[tuple[str, list[str]]], filled: dict[str, int], min_strength: float) -> list[tuple[str, str, int, int]]:
+    """(determinant, dependent, agreeing, checked) of the pairs that hold, found slice by slice of the X values.
+
+    Exceptions of different X values add up. As soon as a pair has more than it may have in all rows with an X (filled), it leaves, so the large
+    slices are counted for few pairs. What goes through the driver is one row a pair."""
+    total: dict[tuple[str, str], tuple[int, int]] = {}
+    for part in PARTS:
+        for r in pair_agreement(df, pairs, part, SLICES).collect():
+            agreeing, checked = total.get((r["determinant"], r["dependent"]), (0, 0))
+            total[r["determinant"], r["dependent"]] = agreeing + r["agreeing"], checked + r["checked"]
+
+        def able(x: str, y: str) -> bool:
+            agreeing, checked = total.get((x, y), (0, 0))
+            return checked - agreeing <= (1 - min_strength) * filled[x] * (1 + 1e-9)
+
+        pairs = [(x, own) for x, own in ((x, [y for y in own if able(x, y)]) for x, own in pairs) if own]
+        if not pairs:
+            return []
+    return [(x, y, *total[x, y]) for x, own in pairs for y in own if (x, y) in total and total[x, y][0] / total[x, y][1] >= min_strength]
+
+
 def dependencies(df: DataFrame, infos: list[dict], min_strength: float = MIN_STRENGTH) -> DataFrame:
     """One row per dependency that holds for at least min_strength of the rows."""
     spark = df.sparkSession
     pairs = dependency_pairs(infos)
     if not pairs:
         return spark.createDataFrame([], EDGE_SCHEMA)
-    counts = pair_agreement(df, [(x["column_name"], [y["column_name"] for y in ys]) for x, ys in pairs])
-    sizes = spark.createDataFrame([(x["column_name"], x["distinct_count"]) for x, _ in pairs],
-                                  "determinant string, determinant_distinct bigint")
-    strength = F.col("agreeing") / F.col("checked")
-    return counts.where(strength >= min_strength).join(sizes, "determinant").select(
-        "determinant", "dependent", F.round(strength, 5).alias("strength"),
-        (F.col("checked") - F.col("agreeing")).alias("exceptions"), F.col("checked").alias("rows_checked"),
-        "determinant_distinct",
-        F.when(F.col("checked") == F.col("agreeing"), "exact").otherwise("approx").alias("kind"))
+    size = {x["column_name"]: x["distinct_count"] for x, _ in pairs}
+    named = [(x["column_name"], [y["column_name"] for y in ys]) for x, ys in pairs]
+    found = lasting_pairs(df, named, {x["column_name"]: x["non_null"] for x, _ in pairs}, min_strength)
+    rows = [(x, y, agreeing / checked, checked - agreeing, checked, size[x], "exact" if agreeing == checked else "approx") for x, y, agreeing, checked in found]
+    return spark.createDataFrame(rows, EDGE_SCHEMA).withColumn("strength", F.round("strength", 5))
 
 
 def dependency_exceptions(df: DataFrame, determinant: str, dependent: str) -> DataFrame:

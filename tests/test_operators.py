@@ -147,6 +147,19 @@ def test_dependencies_and_exceptions(spark):
     assert len(wrong) == 20 and {r["expected_prop_name"] for r in wrong} == {"n0"}
 
 
+def test_refuted_pairs_leave_and_no_others(spark):
+    rng = random.Random(9)
+    rows = [(x := rng.randint(0, 300), None if x % 50 == 0 else x // 3, x % 7 if rng.random() < 0.985 else 99, rng.choice([0, 0, 0, 1]), f"n{x // 100}", rng.choice([None, x])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int, e string, f int")
+    names = df.columns
+    pairs = [(x, [y for y in names if y != x]) for x in names]
+    filled = {n: sum(r[i] is not None for r in rows) for i, n in enumerate(names)}
+    whole = {(r["determinant"], r["dependent"]): (r["agreeing"], r["checked"]) for r in dependencies.pair_agreement(df, pairs).collect()}
+    for least in (0.98, 0.5, 1.0):
+        found = {(x, y): (n, m) for x, y, n, m in dependencies.lasting_pairs(df, pairs, filled, least)}
+        assert found == {k: v for k, v in whole.items() if v[0] / v[1] >= least} and 0 < len(found) < len(whole)
+
+
 def test_optional_groups_with_null_code(spark):
     rows = [("C" if i % 4 == 0 else None if i % 4 == 1 else "I", f"c{i}" if i % 4 == 0 else None, "t" if i % 4 == 0 else "n/a") for i in range(400)]
     df = spark.createDataFrame(rows, "guest_type string, company string, tax string")
