@@ -1,6 +1,9 @@
 """What grows with the input: plans and results that must hold on larger tables."""
 
+import itertools
+
 from stratalens.operators import catalog as K
+from stratalens.operators import duplicates
 
 
 def snapshot(spark, rows):
@@ -18,3 +21,17 @@ def test_schema_diff_broadcasts_table_names_only(spark, tmp_path):
     assert "BuildLeft" not in plan and plan.count("SortMergeJoin") == 1
     got = sorted((r["change"], r["column_name"]) for r in found.collect())
     assert got == [("column_added", f"c{i}") for i in range(295, 300)] + [("column_dropped", "c0"), ("column_dropped", "c1"), ("type_changed", "c7")]
+
+
+def test_blocking_pairs_are_not_gathered_to_find_repeated_ones(spark):
+    people = [(i, f"m{i // 3}" if i % 4 else None, f"p{i % 7}", f"f{i % 5}", f"name{i % 6}", f"d{i % 2}") for i in range(60)]
+    roles = {r: r for r in ("email", "phone", "first_name", "last_name", "dob")}
+    records = spark.createDataFrame(people, "rid int, n_email string, n_phone string, n_first_name string, n_last_name string, n_dob string")
+    pairs = duplicates.blocking_pairs(records, roles)
+    assert "keys=[ra#" not in pairs._jdf.queryExecution().sparkPlan().toString()
+
+    def keys(p):
+        return {(k, v) for k, v in enumerate((p[1], p[2], p[3] + p[4], p[5] + p[4][:3])) if v is not None}
+
+    got = [(r["ra"], r["rb"]) for r in pairs.collect()]
+    assert sorted(got) == [(a[0], b[0]) for a, b in itertools.combinations(people, 2) if keys(a) & keys(b)]
