@@ -39,13 +39,15 @@ def is_prose(info: dict) -> bool:
     return info["family"] == "string" and (info["avg_len"] or 0) > LONG_TEXT
 
 
-def grain_candidates(infos: list[dict]) -> list[dict]:
-    """Columns that can be part of a composite grain: without nulls, more than one value, no amounts and no prose. Those whose name tells of
-    keys or dates come first, then those of more values."""
-    def place(info: dict) -> tuple[int, int]:
+def grain_candidates(infos: list[dict], order: list[str] | None = None) -> list[dict]:
+    """Columns that can be part of a composite grain: without nulls, more than one value, no amounts and no prose. Those named in `order` come
+    first, as they stand there; then those whose name tells of keys or dates, then those of more values."""
+    given = {name: i for i, name in enumerate(order or [])}
+
+    def place(info: dict) -> tuple[int, int, int]:
         name = info["column_name"]
         told = keyish(name) or dateish(name) or re.search(GRAIN_NAME, name) is not None
-        return 0 if told else 1, -info["distinct_count"]
+        return given.get(name, len(given)), 0 if told else 1, -info["distinct_count"]
 
     def fit(info: dict) -> bool:
         full, varied = info["non_null"] == info["row_count"], info["distinct_count"] > 1
@@ -61,6 +63,20 @@ def count_combos(df: DataFrame, combos: list[list[str]]) -> list[int]:
     return list(counts.first())
 
 
+def count_combo(df: DataFrame, combo: list[str], slots: int = 50) -> tuple[int, list[int]]:
+    """Distinct rows of a combination, and hashes of some combinations that stand on several rows, one of each slot that has any.
+
+    Only the combination itself and a count are shuffled."""
+    names = [f"key{i}" for i in range(len(combo))]
+    counted = df.groupBy(*[col(c).alias(n) for c, n in zip(combo, names, strict=True)]).agg(F.count(F.lit(1)).alias("n"))
+    full, mark = F.lit(True), F.xxhash64(*names)
+    for n in names:
+        full = full & F.col(n).isNotNull()
+    found = counted.groupBy(F.pmod(mark, F.lit(slots)).alias("slot")).agg(
+        F.count_if(full).alias("d"), F.max(F.when(F.col("n") > 1, mark)).alias("mark")).collect()
+    return sum(r["d"] for r in found), [r["mark"] for r in found if r["mark"] is not None]
+
+
 class Search:
     """Smallest sets of columns that tell all given rows apart, as smallest sets that meet every difference: of two rows, the columns in which
     they differ. Differences are found as they are needed, from two rows that a set leaves together.
@@ -158,29 +174,41 @@ def smallest_combos(df: DataFrame, distinct: dict[str, int], target: int, sample
         fresh = [c for c in found if c not in counted][:COUNTED]
         if not fresh:
             return [[names[i] for i in c] for c in found]
-        counted |= dict(zip(fresh, count_combos(df, [[names[i] for i in c] for c in fresh]), strict=True))
+        results = dict(zip(fresh, together(*[lambda c=c: count_combo(df, [names[i] for i in c]) for c in fresh]), strict=True))
+        counted |= {c: d for c, (d, _) in results.items()}
         failed = [c for c in fresh if counted[c] < target]
-        for rows in together(*[lambda c=c: left_together(df, names, [names[i] for i in c]) for c in failed]):
+        for rows in together(*[lambda c=c: left_together(df, names, [names[i] for i in c], results[c][1]) for c in failed]):
             search.add(coded(rows))
 
 
-def left_together(df: DataFrame, names: list[str], combo: list[str], groups: int = 50) -> list[Row]:
-    """Rows that differ and agree on the combination: two of each of some groups."""
+def left_together(df: DataFrame, names: list[str], combo: list[str], marks: list[int] | None = None, groups: int = 50) -> list[Row]:
+    """Rows that differ and agree on the combination: two of each of some groups. marks: hashes of combinations on several rows, from
+    count_combo; all groups are looked at only without them, or if the rows of those are all equal."""
+    if marks == []:
+        return []
     rows = df.select(F.struct(*[col(n) for n in names]).alias("row"))
     keys = [F.col("row")[c].alias(f"key{i}") for i, c in enumerate(combo)]
-    pairs = rows.groupBy(*keys).agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first <> last").limit(groups)
-    return [r["row"] for r in pairs.select(F.explode(F.array("first", "last")).alias("row")).collect()]
+
+    def two_of_each(some: DataFrame) -> list[Row]:
+        pairs = some.groupBy(*keys).agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first <> last").limit(groups)
+        return [r["row"] for r in pairs.select(F.explode(F.array("first", "last")).alias("row")).collect()]
+
+    if marks is None:
+        return two_of_each(rows)
+    few = df.where(F.xxhash64(*[col(c) for c in combo]).isin(marks)).select(F.struct(*[col(n) for n in names]).alias("row"))
+    return two_of_each(few) or two_of_each(rows)
 
 
-def find_grain(df: DataFrame, infos: list[dict], most: int | None = None) -> list[dict]:
+def find_grain(df: DataFrame, infos: list[dict], most: int | None = None, order: list[str] | None = None) -> list[dict]:
     """[{combo, distinct_rows, dup_rows, near}]: single keys from the profile, else all unique combinations of the fewest
     columns, or the first `most` of them; if nothing is unique, the smallest combination that tells the most rows apart, when
-    at most one row in a thousand is a duplicate."""
+    at most one row in a thousand is a duplicate. Combinations come in the order of their columns; `order` fixes it where distinct counts,
+    which change as a table grows, should not."""
     rows = infos[0]["row_count"] if infos else 0
     keys = [i["column_name"] for i in infos if "candidate_pk" in i["flags"]]
     if keys:
         return [{"combo": [k], "distinct_rows": rows, "dup_rows": 0, "near": False} for k in keys]
-    distinct = {i["column_name"]: i["distinct_count"] for i in grain_candidates(infos)}
+    distinct = {i["column_name"]: i["distinct_count"] for i in grain_candidates(infos, order)}
     if len(distinct) < 2 or math.prod(distinct.values()) < NEARLY * rows:
         return []
     # no combination tells more rows apart than all candidates together
@@ -196,9 +224,9 @@ GRAIN_SCHEMA = ("schema_name string, table_name string, rank int, combo array<st
                 "dup_rows bigint, near boolean")
 
 
-def grain(df: DataFrame, profiled: DataFrame, schema: str, table: str, most: int | None = None) -> DataFrame:
+def grain(df: DataFrame, profiled: DataFrame, schema: str, table: str, most: int | None = None, order: list[str] | None = None) -> DataFrame:
     """The grain of one table as rows, best combination first; all of them, or the first `most`."""
-    found = find_grain(df, column_infos(profiled, schema, table), most)
+    found = find_grain(df, column_infos(profiled, schema, table), most, order)
     rows = [(schema, table, i, g["combo"], g["distinct_rows"], g["dup_rows"], g["near"])
             for i, g in enumerate(found, start=1)]
     return df.sparkSession.createDataFrame(rows, GRAIN_SCHEMA)
