@@ -2,8 +2,12 @@
 
 import itertools
 
+from pyspark.sql.readwriter import DataFrameWriter
+
 from stratalens.operators import catalog as K
-from stratalens.operators import duplicates
+from stratalens.operators import duplicates, grain
+from stratalens.operators.profile import count_values
+from stratalens.operators.value_freq import value_freq
 
 
 def snapshot(spark, rows):
@@ -35,3 +39,27 @@ def test_blocking_pairs_are_not_gathered_to_find_repeated_ones(spark):
 
     got = [(r["ra"], r["rb"]) for r in pairs.collect()]
     assert sorted(got) == [(a[0], b[0]) for a, b in itertools.combinations(people, 2) if keys(a) & keys(b)]
+
+
+def test_grain_keeps_a_given_order_of_columns():
+    info = lambda name, d: {"column_name": name, "distinct_count": d, "non_null": 90, "row_count": 90, "family": "string", "data_type": "string", "avg_len": 3}
+    infos = [info("a_key", 10), info("b_key", 90), info("c", 50)]
+    names = lambda order: [i["column_name"] for i in grain.grain_candidates(infos, order)]
+    assert names(None) == ["b_key", "a_key", "c"] and names(["a_key", "b_key"]) == ["a_key", "b_key", "c"]
+
+
+def test_combinations_are_counted_once_and_refuted_from_few_groups(spark):
+    # a alone is refuted by one group only; full copies speak against nothing
+    df = spark.createDataFrame([(i, i % 7, i % 3) for i in range(200)] * 2 + [(5, 6, 0)], "a int, b int, c int")
+    d, marks = grain.count_combo(df, ["a"], 400)
+    assert d == 200 and len(marks) > 50
+    assert sorted(tuple(r) for r in grain.left_together(df, ["a", "b", "c"], ["a"], marks)) == [(5, 5, 2), (5, 6, 0)]
+    assert sorted(tuple(r) for r in grain.left_together(df, ["a", "b", "c"], ["a"], marks[:1])) == [(5, 5, 2), (5, 6, 0)]
+    assert grain.left_together(df, ["a", "b", "c"], ["a", "b", "c"], marks) == []
+
+
+def test_counts_are_written_without_a_sort_by_family(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "x", 0.5), (2, "x", None), (2, None, 1.5)], "k int, t string, v double")
+    want = sorted(map(str, value_freq({"s": df}).collect()))
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda *a: 1 / 0)
+    assert sorted(map(str, count_values({"s": df}).counts.select(*value_freq({"s": df}).columns).collect())) == want
