@@ -63,3 +63,10 @@ def test_counts_are_written_without_a_sort_by_family(spark, monkeypatch):
     want = sorted(map(str, value_freq({"s": df}).collect()))
     monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda *a: 1 / 0)
     assert sorted(map(str, count_values({"s": df}).counts.select(*value_freq({"s": df}).columns).collect())) == want
+
+
+def test_both_zeros_are_counted_apart_by_text(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (-0.0,), (1.5,), (None,)], "x double")
+    got = lambda **how: sorted((r["value"] or "", r["n"]) for r in value_freq({"t": df}, **how).collect())
+    assert got(by_text=True) == [("", 1), ("-0.0", 2), ("0.0", 1), ("1.5", 1)]
+    assert len(got()) == 3
