@@ -4,12 +4,14 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.readwriter import DataFrameWriter
 
-from stratalens.functions.similarity import partial_ratio, ratio
+from stratalens.functions import similarity
+from stratalens.functions.similarity import jaro_winkler, partial_ratio, ratio
 from stratalens.operators import catalog as K
-from stratalens.operators import duplicates, grain
+from stratalens.operators import duplicates, grain, near_names, similar
 from stratalens.operators.profile import count_values
 from stratalens.operators.value_freq import value_freq
 
@@ -92,3 +94,32 @@ def test_suggested_names_are_the_best_of_all_but_few_are_scored(spark, monkeypat
     assert sorted(map(tuple, got.collect())) == sorted(want)
     frame = pd.DataFrame({"column_name": ["a"], "form": ["smallbolt17"]}), pd.DataFrame({"candidate": there, "form": [clean(n) for n in there]})
     assert len(K._nearest_names(("s", "t"), *frame, 3)) < len(there) / 2
+
+
+def test_names_of_a_huge_block_are_found_by_their_marks(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeé ") for _ in range(rng.randint(1, 9)))
+    first, last = [word() for _ in range(40)], [word() + rng.choice(["", "son", "x"]) for _ in range(60)]
+    swap = lambda w: w[1:2] + w[:1] + w[2:] if rng.random() < 0.3 else w[:-1] if rng.random() < 0.2 else w
+    people = [(i, rng.choice(["p", "p", "p", None]), rng.choice([None, *[swap(x) for x in first]]), rng.choice([None, "y" * 70, *[swap(x) for x in last]]),
+               rng.choice([None, None, f"m{i % 9}"])) for i in range(700)]
+    records = spark.createDataFrame(people, "rid int, n_phone string, n_first_name string, n_last_name string, n_email string")
+    for roles, threshold in ((("phone", "first_name", "last_name"), 0.9), (("email", "phone", "first_name", "last_name"), 0.95)):
+        weights, named = {r: duplicates.WEIGHTS[r] for r in roles}, {r: r for r in roles}
+        find = lambda **how: sorted(map(tuple, similar.similar_pairs(
+            records, duplicates.block_keys(named), weights, duplicates.NAME_ROLES, threshold, duplicates.MIN_COMPARED, **how).collect()))
+        # one join of all pairs against marks; with small tiles marks that many share are dealt out
+        want = find(small=10_000)
+        assert len(want) > 40 and find(small=16, tile=100, indexed=100) == want
+
+
+def test_least_common_characters_hold_for_all_starts():
+    rng = random.Random(2)
+    for _ in range(4000):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(2))
+        score = jaro_winkler(a, b)
+        wanted = set(near_names.labels(0.8, len(a), len(b)))
+        chars = [similarity.code_points([x], len(x))[0].T for x in (a, b)]
+        seed = np.zeros(1, np.uint64)
+        shared = any(set(near_names.marks(chars[0], seed, *label).ravel().tolist()) & set(near_names.marks(chars[1], seed, *label).ravel().tolist()) for label in wanted)
+        assert shared or score < 0.8
