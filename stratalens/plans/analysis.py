@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stratalens.operators import codes, dependencies, grain, optional, profile, relate, rules, time_coverage
 from stratalens.operators.profile import Counted, count_values
 from stratalens.operators.value_freq import Tables, union_all
-from stratalens.staging import held, stage, together
+from stratalens.staging import held, small_tasks, stage, together
 from stratalens.types import split_name
 
 KINDS = {"grain", "time", "deps", "codes", "optional"}
@@ -60,6 +60,7 @@ def table_insights(df: DataFrame, profiled: DataFrame, schema: str, table: str,
     return out
 
 
+@small_tasks
 def analyse(tables: Tables, only: set[str] | None = None, deep: bool = False) -> Analysis:
     """Profile and relate all tables together, then look into each table. One table that fails does not stop the rest;
     rows never pass through the driver, only per-column results do."""

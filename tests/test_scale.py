@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql.readwriter import DataFrameWriter
 
 from stratalens.functions import similarity
@@ -14,6 +15,7 @@ from stratalens.operators import catalog as K
 from stratalens.operators import compare, duplicates, grain, near_names, similar
 from stratalens.operators.profile import count_values
 from stratalens.operators.value_freq import value_freq
+from stratalens.staging import SPLIT_BYTES, _bytes, small_tasks
 
 
 def snapshot(spark, rows):
@@ -136,3 +138,35 @@ def test_linked_values_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
     # 400 values on the left, 200 on the right; nothing is counted before it is dealt out
     plan = parts[0][1]._jdf.queryExecution().executedPlan().toString()
     assert parts[0][0] == 10 and plan.count(", 10)") == 2
+
+
+def test_more_values_are_counted_by_more_tasks(spark):
+    wide = spark.range(5_000_000, numPartitions=4).selectExpr("xxhash64(id) AS a")
+    counted = count_values({"t": wide})
+    # the session has 4 shuffle partitions, which held a quarter of all values each however many there were
+    assert len(counted.counts.inputFiles()) > 4 and counted.counts.count() == 5_000_000
+
+
+def test_sizes_of_tasks_are_put_back(spark):
+    split, shuffle = "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    parts = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    seen = lambda: [spark.conf.get(split), spark.conf.get(shuffle), spark.conf.get(parts, None)]
+    before = seen()
+
+    @small_tasks
+    def inner(df, fail=False):
+        if fail:
+            raise ValueError("inner")
+        return seen()
+
+    outer = small_tasks(lambda df: (inner(df), seen()))
+    spark.conf.set(shuffle, "2m")                   # smaller than the fixed value: stays
+    try:
+        within, after_inner = outer(spark.range(1))
+        assert within == after_inner == [str(SPLIT_BYTES), "2m", "400"]
+        with pytest.raises(ValueError):
+            inner(spark.range(1), fail=True)
+        assert seen() == [before[0], "2m", before[2]]
+    finally:
+        spark.conf.unset(shuffle)
+    assert [_bytes(x) for x in ("7", "16m", "64MB", "128b", "1g")] == [7, 16 << 20, 64 << 20, 128, 1 << 30]
