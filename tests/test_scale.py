@@ -12,8 +12,8 @@ from pyspark.sql.readwriter import DataFrameWriter
 from stratalens.functions import similarity
 from stratalens.functions.similarity import jaro_winkler, partial_ratio, ratio
 from stratalens.operators import catalog as K
-from stratalens.operators import compare, duplicates, grain, near_names, similar
-from stratalens.operators.profile import count_values
+from stratalens.operators import compare, duplicates, grain, near_names, relate, similar
+from stratalens.operators.profile import count_values, profile
 from stratalens.operators.value_freq import value_freq
 from stratalens.staging import SPLIT_BYTES, _bytes, small_tasks
 
@@ -170,3 +170,15 @@ def test_sizes_of_tasks_are_put_back(spark):
     finally:
         spark.conf.unset(shuffle)
     assert [_bytes(x) for x in ("7", "16m", "64MB", "128b", "1g")] == [7, 16 << 20, 64 << 20, 128, 1 << 30]
+
+
+def test_links_are_found_by_small_tasks(spark, monkeypatch):
+    sizes, write = [], relate.stage
+    monkeypatch.setattr(relate, "stage", lambda df, label: (sizes.append(spark.conf.get("spark.sql.files.maxPartitionBytes")), write(df, label))[1])
+    named = {"site": spark.range(2, 40).toDF("site_id"), "visit": spark.range(2, 400).selectExpr("id AS visit_id", "2 + id % 30 AS site_id")}
+    links = relate.find_links(named)
+    assert len(sizes) == 5 and set(sizes) == {str(SPLIT_BYTES)}
+    counted = count_values(named)
+    relate.discover_relationships(counted.freq, profile(named, counted=counted))
+    assert len(sizes) == 8 and set(sizes) == {str(SPLIT_BYTES)}
+    assert [(r["from_table"], r["to_table"]) for r in links.collect()] == [("visit", "site")]
