@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ from stratalens.llm.common import pieces as slices, tidied, unused
 
 #: SentencePiece's mark for a space, as its models have it.
 SPACE = "▁"
-#: Parts and borders kept by a task, and the length up to which a part is kept.
-KEPT_PARTS, KEPT_BORDERS, KEPT_LENGTH = 300_000, 200_000, 40
+#: Parts met last and borders kept by a task, and the length up to which a part is kept. Twice as many parts are held at most.
+KEPT_PARTS, KEPT_BORDERS, KEPT_LENGTH = 100_000, 150_000, 40
 #: Characters handled before results are sent on.
 CHUNK = 500_000
 
@@ -54,23 +55,6 @@ def merges(piece: str, score: dict[str, float]) -> list[tuple[float, str, str]]
     return trace
 
 
-class Parts(dict):
-    """Parts met before, with their ids as text, the number of ids, and the bytes they decode to."""
-
-    def __init__(self, table: PrefixTable):
-        super().__init__()
-        self.table = table
-
-    def __missing__(self, part: str) -> tuple[str, int, bytes]:
-        ids = self.table.encode_part(part)
-        found = " ".join(map(str, ids)), len(ids), b"".join(map(self.table.text.__getitem__, ids))
-        if len(part) <= KEPT_LENGTH:
-            if len(self) >= KEPT_PARTS:
-                self.clear()
-            self[part] = found
-        return found
-
-
 class PrefixTable:
     """Encoder and decoder for one model, given as the bytes of its file."""
 
@@ -85,8 +69,10 @@ class PrefixTable:
         self.score = {p: lib.get_score(i) for p, i in self.ids.items()}
         self.byte = {int(lib.id_to_piece(i)[1:-1], 16): i for i in range(lib.get_piece_size()) if lib.is_byte(i)}
         self.text = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.byte.items()}
-        # a piece that its own merges don't build is never the last token of a prefix
-        self.trace = {p: t for p in self.ids if (t := merges(p, self.score)) is not None}
+        self.digits = {i: str(i) for i in [*self.text, self.end]}
+        # a piece that its own merges don't build is never the last token of a prefix; traces share equal symbols
+        one = {p: p for p in self.ids}
+        self.trace = {p: [(s, one.setdefault(a, a), one.setdefault(b, b)) for s, a, b in t] for p in self.ids if (t := merges(p, self.score)) is not None}
         self.automaton = ahocorasick.Automaton()
         for p in self.trace:
             self.automaton.add_word(p, (self.ids[p], len(p)))
@@ -94,7 +80,10 @@ class PrefixTable:
         self.piece = {i: p for p, i in self.ids.items()}
         self.width = {i: len(p) for p, i in self.ids.items()}
         self.border: dict[int, bool] = {}
-        self.parts = Parts(self)
+        # parts met last and before them, each with its ids as 4-byte integers
+        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.last = array("i", [self.end]).tobytes()
         self.cut = self.cutter()
 
     def cutter(self) -> re.Pattern:
@@ -153,13 +142,28 @@ class PrefixTable:
                 at -= self.width[piece]
         return ids[::-1]
 
+    def met(self, part: str) -> bytes:
+        """The ids of a part that is not among those met last, where it is from now on if it is short."""
+        found = self.older.get(part) or array("i", self.encode_part(part)).tobytes()
+        if len(part) <= KEPT_LENGTH:
+            if len(self.parts) >= KEPT_PARTS:
+                self.parts, self.older = {}, self.parts
+            self.parts[part] = found
+        return found
+
+    def tokens(self, text: str) -> np.ndarray:
+        """The ids of a text with the end id."""
+        parts = self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        return np.frombuffer(b"".join([self.parts.get(x) or self.met(x) for x in parts] + [self.last]), np.int32)
+
+    def told(self, ids: np.ndarray) -> tuple[str, int, str]:
+        """Ids that end with the end id, joined by spaces; their number; the decoded text."""
+        listed = ids.tolist()
+        return " ".join(map(self.digits.__getitem__, listed)), len(listed), self.shown(b"".join(map(self.text.__getitem__, listed[:-1])))
+
     def encode(self, text: str) -> tuple[str, int, str]:
-        """The ids with the end id, joined by spaces; their number; the decoded text."""
-        if not text:
-            return str(self.end), 1, ""
-        marked = SPACE + text.replace(" ", SPACE)
-        ids, sizes, decoded = zip(*map(self.parts.__getitem__, self.cut.findall(marked)), strict=True)
-        return " ".join([*ids, str(self.end)]), sum(sizes) + 1, self.shown(b"".join(decoded))
+        """The ids of a text with the end id, joined by spaces; their number; the decoded text."""
+        return self.told(self.tokens(text))
 
     def decode(self, ids: list[int]) -> str:
         return self.shown(b"".join(self.text.get(i, b"") for i in ids))
@@ -172,21 +176,20 @@ class PrefixTable:
 
 def encoder(model: bytes, with_ids: bool = False):
     """A column function from text to n_tokens, ids_sha256 and decoded_sha256, and the ids if asked for."""
-    built: list[PrefixTable] = []
-
     @F.pandas_udf(WITH_IDS if with_ids else DIGESTS)
     @tidied
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if not built:
-            built.append(PrefixTable(model))
+        table = None  # of this task alone, so that all of it is given back at its end
         for batch in batches:
+            table = table or PrefixTable(model)
             texts = batch.fillna("").tolist()
             for part in slices([len(x) for x in texts], CHUNK):
                 rows = []
                 for text in texts[part]:
-                    ids, n, decoded = built[0].encode(text)
-                    row = n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
-                    rows.append((*row, np.fromiter(map(int, ids.split(" ")), np.int32, n)) if with_ids else row)
+                    ids = table.tokens(text)
+                    shown, n, decoded = table.told(ids)
+                    row = n, hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+                    rows.append((*row, ids) if with_ids else row)
                 yield pd.DataFrame(rows, columns=[f.name for f in (WITH_IDS if with_ids else DIGESTS)])
 
     return encode

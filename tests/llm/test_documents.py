@@ -1,15 +1,18 @@
 """Operators over documents, against brute force on small tables with nulls, empty and repeated rows, ties and clashing column names."""
 
 import collections
+import gc
 import hashlib
 import itertools
 import math
 import random
 import re
 import string
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +133,21 @@ def test_kept_parts_change_nothing(monkeypatch):
     assert all(small.encode(t) == large.encode(t) for t in ["one two three four five one two", "a b c d e f g h a b c"])
 
 
+def test_a_tokenizing_task_holds_bounded_memory():
+    table = pieces.PrefixTable(pieces.model_bytes(public_model()))
+    tracemalloc.start()
+    for start in range(0, 250_000, 1_000):
+        table.encode(" ".join(f"{n * 7919:07x}" for n in range(start, start + 1_000)))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 60 << 20
+    # a worker lives on after a task; nothing of the task's table does
+    encode = pieces.encoder(pieces.model_bytes(public_model())).func
+    before = sum(isinstance(x, pieces.PrefixTable) for x in gc.get_objects())
+    assert [len(found) for found in encode(iter([pd.Series(["some text"])]))] == [1]
+    assert sum(isinstance(x, pieces.PrefixTable) for x in gc.get_objects()) == before
+
+
 PATTERNS = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
             ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
 SECRETS = ["password: abc", "PASSWORD = 'abcdef' secret:token:abcdefgh", "😀 api_key=\"abcdef\" AKIA" + "A1" * 8 + " AKIAX AKIA" + "B" * 30, "f" * 24 + "g" + "0" * 23,
