@@ -49,6 +49,26 @@ def test_blocking_pairs_are_not_gathered_to_find_repeated_ones(spark):
     assert sorted(got) == [(a[0], b[0]) for a, b in itertools.combinations(people, 2) if keys(a) & keys(b)]
 
 
+def test_blocking_pairs_of_large_blocks_in_tiles_and_few_bytes(spark, monkeypatch, tmp_path):
+    rng = random.Random(4)
+    people = [(f"r{i:04}", rng.choice([None, f"m{i % 300}"]), rng.choice([None, "p1", "p1", "p2"]), f"f{i % 9}", rng.choice(["ross", "rossi", None]), "d1") for i in range(500)]
+    schema = "rid string, n_email string, n_phone string, n_first_name string, n_last_name string, n_dob string"
+    roles = {r: r for r in ("email", "phone", "first_name", "last_name", "dob")}
+    whole = [{(k, v) for k, v in enumerate((p[1], p[2], p[4] and p[3] + p[4], p[4] and p[5] + p[4][:3])) if v is not None} for p in people]
+    want = [(people[x][0], people[y][0]) for x, y in itertools.combinations(range(500), 2) if whole[x] & whole[y]]
+    monkeypatch.setattr(duplicates, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(duplicates, "CHUNK", 8)
+    records = spark.createDataFrame(rng.sample(people, 500), schema)
+    assert sorted(map(tuple, duplicates.blocking_pairs(records, roles).collect())) == want
+    monkeypatch.undo()
+    # one block of 1,999,000 pairs: what is written follows from its records, not from two numbers a pair
+    one = spark.range(2000).selectExpr("id * 977 % 2000 AS rid", "'p' AS n_phone", "concat('n', id) AS n_name")
+    duplicates.blocking_pairs(one, {"phone": "phone", "name": "name"}).write.parquet(str(tmp_path / "out"))
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.count() == found.distinct().count() == 1999 * 1000 and found.where("ra >= rb").isEmpty()
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 1999 * 1000 // 2
+
+
 def test_grain_keeps_a_given_order_of_columns():
     info = lambda name, d: {"column_name": name, "distinct_count": d, "non_null": 90, "row_count": 90, "family": "string", "data_type": "string", "avg_len": 3}
     infos = [info("a_key", 10), info("b_key", 90), info("c", 50)]
