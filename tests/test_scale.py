@@ -135,6 +135,20 @@ def test_names_of_a_huge_block_are_found_by_their_marks(spark):
         assert len(want) > 40 and find(small=16, tile=100, indexed=100) == want
 
 
+def test_equal_names_meet_by_one_mark(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    people = [(2 * i + k, first + "e" * k, last, "p") for i in range(60) for first, last in [(word(7), word(9))] for k in (0, 1)]
+    records = spark.createDataFrame(people, "rid long, n_first_name string, n_last_name string, n_phone string")
+    roles = {r: duplicates.WEIGHTS[r] for r in ("phone", "first_name", "last_name")}
+    monkeypatch.setattr(near_names, "BATCH", 50)
+    monkeypatch.setattr(type(records), "dropDuplicates", lambda df, *a: df)
+    rows = records.selectExpr("*", "0 AS block", "'p' AS value")
+    # as tasks find them: a pair with an equal name once, not once for each of the marks that it shares
+    found = [(r["ra"], r["rb"]) for r in near_names.indexed_pairs(rows, [], roles, duplicates.NAME_ROLES, 0.9, 2, 0.82, 1000, "long").collect()]
+    assert sorted(found) == [(2 * i, 2 * i + 1) for i in range(60)]
+
+
 def test_least_common_characters_hold_for_all_starts():
     rng = random.Random(2)
     for _ in range(4000):
